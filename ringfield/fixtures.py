@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfield.functions import rings
-from ringfield.operators.geometry import explode_ring
+from ringfield.operators.geometry import explode_ring, settled
 
 SIDE = 5000
 FIELD_SIDE = 625
@@ -51,8 +51,8 @@ def polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
     rectangle = F.array(corner(0, 0), corner(0, 2), corner(2, 2), corner(2, 0))
     ell = F.array(corner(0, 0), corner(0, 2), corner(1, 2), corner(1, 1), corner(2, 1), corner(2, 0))
     ring = F.when(F.col("is_l") == 1, ell).otherwise(rectangle)
-    turned = F.when(F.col("poly_id") % 2 == 1, F.reverse(ring)).otherwise(ring)
-    return b.select("image_id", "poly_id", "ck", turned.alias("ring"))
+    drawn = settled(b.select("image_id", "poly_id", "ck", ring.alias("ring")))
+    return drawn.withColumn("ring", F.when(F.col("poly_id") % 2 == 1, F.reverse("ring")).otherwise(F.col("ring")))
 
 
 def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +64,7 @@ def predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
         dj = ((poly * 5 + k * 11) % 33 - 16) * 0.25
         return rings.point(p["i"] + di, p["j"] + dj)
 
-    return polygons(spark, sf_dir).withColumn("ring", F.transform("ring", moved))
+    return settled(polygons(spark, sf_dir).withColumn("ring", F.transform("ring", moved)))
 
 
 def vertices(spark: SparkSession, sf_dir: str) -> DataFrame:

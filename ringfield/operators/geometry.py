@@ -31,6 +31,11 @@ def explode_ring(polygons: DataFrame) -> DataFrame:
     return exploded.select(*rest, "k", F.col("p.i").alias("i"), F.col("p.j").alias("j"))
 
 
+def settled(df: DataFrame, column: str = "ring") -> DataFrame:
+    """Evaluate a column once: a one-element generator is not merged into later expressions."""
+    return df.withColumn(column, F.explode_outer(F.array(column)))
+
+
 def collect_rings(vertices: DataFrame, *keys: str) -> DataFrame:
     """Vertex rows to ring rows. A ring is one record, so the group is as large as one output row."""
     ordered = F.sort_array(F.collect_list(F.struct("k", "i", "j")))
@@ -316,7 +321,7 @@ def simplify(polygons: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Douglas-Peucker on each ring; the first and last vertex always stay."""
     if tolerance <= 0:
         return polygons
-    kept = polygons.withColumn("_kept", _kept_positions(lambda i, j: _kept(i, j, tolerance)))
+    kept = settled(polygons).withColumn("_kept", _kept_positions(lambda i, j: _kept(i, j, tolerance)))
     ring = F.transform("_kept", lambda k: F.get(F.col("ring"), k))
     return kept.withColumn("ring", ring).drop("_kept")
 
@@ -332,7 +337,7 @@ def simplify_to_count(polygons: DataFrame, count: int, step: float = 0.1) -> Dat
             kept = _kept(i, j, tries * step)
         return kept[:-1]
 
-    kept = polygons.withColumn("_kept", _kept_positions(pick))
+    kept = settled(polygons).withColumn("_kept", _kept_positions(pick))
     ring = F.transform("_kept", lambda k: F.get(F.col("ring"), k))
     return kept.withColumn("ring", ring).drop("_kept")
 
@@ -366,7 +371,7 @@ def _without_spikes(ids: list[int]) -> list[int]:
 
 def clean_polygons(polygons: DataFrame, images: DataFrame | None = None, tolerance: float = 1.0) -> DataFrame:
     """Drop holes, then simplify; with `images`, those left without polygons appear with a null ring."""
-    cleaned = simplify(drop_holes(polygons), tolerance).where(F.size("ring") > 0)
+    cleaned = simplify(drop_holes(polygons).where(F.size("ring") > 0), tolerance)
     if images is None:
         return cleaned
     return images.select("image_id").join(cleaned, "image_id", "left")

@@ -370,14 +370,14 @@ def project_mercator(spark, sf):
 @register(
     "project_utm_roundtrip",
     with_views(
-        "SELECT image_id, poly_id, round(15 + (c0 - 2450) / 1024, 4) AS lon, round((r0 - 2450) / 32, 4) AS lat FROM buildings", "buildings"
+        "SELECT image_id, poly_id, round(15 + (c0 - 2450) / 1000, 6) AS lon, round((r0 - 2450) / 40, 6) AS lat FROM buildings", "buildings"
     ),
 )
 def project_utm_roundtrip(spark, sf):
     """Zone 33 there and back."""
-    p = X.buildings(spark, sf).selectExpr("image_id", "poly_id", "15 + (c0 - 2450) / 1024 AS lon", "(r0 - 2450) / 32 AS lat")
+    p = X.buildings(spark, sf).selectExpr("image_id", "poly_id", "15 + (c0 - 2450) / 1000 AS lon", "(r0 - 2450) / 40 AS lat")
     back = G.unproject_lonlat(G.project_lonlat(p, 32633).drop("lon", "lat"), 32633)
-    return back.select(*IDS, F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
+    return back.select(*IDS, F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
 
 
 # theta = 0: the matrix is rational and both engines agree to the last digit.
