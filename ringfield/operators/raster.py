@@ -29,7 +29,6 @@ def fill_cells(polygons: DataFrame) -> DataFrame:
     boundary is included on every side.
     """
     keys = [c for c in polygons.columns if c != "ring"]
-    b = rings.box(F.col("ring"))
     edge = F.transform(
         F.filter(rings.ring_edges(F.col("ring")), lambda e: e["i1"] != e["i2"]),
         lambda e: F.struct(
@@ -39,7 +38,8 @@ def fill_cells(polygons: DataFrame) -> DataFrame:
             ((e["j2"] - e["j1"]) / (e["i2"] - e["i1"])).alias("slope"),
         ),
     )
-    rows = polygons.select(*keys, edge.alias("e"), F.explode(_int_rows(b["r0"], b["r1"])).alias("i"))
+    boxed = polygons.select(*keys, edge.alias("e"), rings.box(F.col("ring")).alias("b"))
+    rows = boxed.select(*keys, "e", F.explode(_int_rows(F.col("b.r0"), F.col("b.r1"))).alias("i"))
     i = F.col("i")
 
     def crossings(chosen: Column) -> Column:

@@ -127,10 +127,32 @@ def largest_per_cluster(spark, sf):
     return O.largest_per_cluster(X.polygons(spark, sf))
 
 
-@register("largest_per_running_cluster")
+BAND_ID = "(CAST(floor(r0 / 32) AS BIGINT) * 5000 + CAST(c0 AS BIGINT)) * 100000000 + poly_id"
+
+
+@register(
+    "largest_per_running_cluster",
+    with_views(
+        f"""SELECT image_id, start, poly_id, area FROM (SELECT c.image_id, c.start, c.poly_id, a.area,
+          row_number() OVER (PARTITION BY c.image_id, c.start ORDER BY a.area DESC, c.poly_id) AS rn
+          FROM chain c JOIN areas a ON a.image_id = c.image_id AND a.poly_id = c.poly_id % 100000000) WHERE rn = 1""",
+        "areas", recursive=True, pairs=PAIRS,
+        ids=f"SELECT image_id, poly_id AS old, {BAND_ID} AS poly_id FROM buildings",
+        partners="""SELECT image_id, greatest(a, b) AS poly_id, max(least(a, b)) AS m FROM (
+          SELECT p.image_id, x.poly_id AS a, y.poly_id AS b FROM pairs p JOIN ids x ON x.old = p.poly_a JOIN ids y ON y.old = p.poly_b
+          WHERE p.shared > 0) GROUP BY image_id, greatest(a, b)""",
+        ordered="""SELECT i.image_id, i.poly_id, p.m, row_number() OVER (PARTITION BY i.image_id ORDER BY i.poly_id) AS rn
+          FROM ids i LEFT JOIN partners p ON p.image_id = i.image_id AND p.poly_id = i.poly_id""",
+        chain="""SELECT image_id, poly_id, poly_id AS start, rn FROM ordered WHERE rn = 1
+          UNION ALL SELECT o.image_id, o.poly_id, CASE WHEN o.m >= c.start THEN c.start ELSE o.poly_id END, o.rn
+          FROM chain c JOIN ordered o ON o.image_id = c.image_id AND o.rn = c.rn + 1""",
+    ),
+)
 def largest_per_running_cluster(spark, sf):
-    """Order-dependent clusters; compared with a loop in the tests."""
-    return O.largest_per_running_cluster(X.polygons(spark, sf))
+    """Ids follow bands of 32 rows, so that overlapping buildings often succeed each other."""
+    p = X.polygons(spark, sf).withColumn("b", rings.box(F.col("ring")))
+    ids = (F.floor(F.col("b.r0") / 32) * 5000 + F.col("b.c0").cast("long")) * 100000000 + F.col("poly_id")
+    return O.largest_per_running_cluster(p.select("image_id", ids.alias("poly_id"), "ring"))
 
 
 FIELD_AT = """((n.ci * 7 + n.cj * 3 + n.map_id * 5) % 17 - 8) * 0.25::DOUBLE"""
