@@ -36,7 +36,7 @@ def ring_edges(ring: Column) -> Column:
 
 
 def doubled_area(ring: Column) -> Column:
-    """Signed shoelace sum; positive for a clockwise ring in (row, column) order."""
+    """Signed shoelace sum of i1*j2 - i2*j1; a positive ring is called clockwise here."""
     terms = F.transform(
         ring, lambda p, k: p["i"] * following(ring, k)["j"] - following(ring, k)["i"] * p["j"]
     )

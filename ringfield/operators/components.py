@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringfield.operators.skew import skew_join
 from ringfield.session import cut_lineage
 
 
@@ -16,29 +15,33 @@ def connected_components(
 
     Each round every node takes the smallest label in its neighbourhood, then
     jumps to the label of its label, so a chain of n nodes needs about log n
-    rounds. Only minima are aggregated, which combine before the shuffle; the
-    state is checkpointed each round and the loop ends when nothing changes.
+    rounds. Only minima are aggregated, which combine before the shuffle; a
+    node with many links or a label with many nodes makes a skewed join, whose
+    output needs no partitioning, so AQE splits it. The state is checkpointed
+    each round and the loop ends when nothing changes.
     """
     both = pairs.select(*keys, F.col("a").alias("id"), F.col("b").alias("other")).union(
         pairs.select(*keys, F.col("b").alias("id"), F.col("a").alias("other"))
     )
     links = cut_lineage(both)
-    state = cut_lineage(nodes.select(*keys, "id", F.col("id").alias("label")))
+    # The first round needs no join: the labels are the ids.
+    best = links.groupBy(*keys, "id").agg(F.min("other").alias("seen"))
+    first = nodes.select(*keys, "id").join(best, [*keys, "id"], "left")
+    state = cut_lineage(first.select(*keys, "id", F.least("id", F.coalesce("seen", "id")).alias("label")))
     for _ in range(max_rounds):
         theirs = state.select(*keys, F.col("id").alias("other"), F.col("label").alias("seen"))
-        offered = skew_join(links, theirs, [*keys, "other"], ["id"])
-        best = offered.groupBy(*keys, "id").agg(F.min("seen").alias("seen"))
+        best = links.join(theirs, [*keys, "other"]).groupBy(*keys, "id").agg(F.min("seen").alias("seen"))
         lowered = state.join(best, [*keys, "id"], "left").select(
             *keys, "id", F.col("label").alias("old"), F.least("label", F.coalesce("seen", "label")).alias("label")
         )
-        lowered = cut_lineage(lowered)
-        target = lowered.select(*keys, F.col("id").alias("label"), F.col("label").alias("further"))
-        jumped = skew_join(lowered, target, [*keys, "label"], ["id"])
-        state = cut_lineage(
-            jumped.select(*keys, "id", F.col("further").alias("label"), (F.col("further") != F.col("old")).alias("moved"))
+        # Labels that moved on themselves; most are roots already and need no jump.
+        ahead = state.where(F.col("id") != F.col("label")).select(
+            *keys, F.col("id").alias("label"), F.col("label").alias("further")
         )
-        moved = state.where("moved").limit(1).count()
+        jumped = lowered.join(ahead, [*keys, "label"], "left")
+        label = F.coalesce("further", "label")
+        state = cut_lineage(jumped.select(*keys, "id", label.alias("label"), (label != F.col("old")).alias("moved")))
+        if state.where("moved").isEmpty():
+            return state.select(*keys, "id", "label")
         state = state.select(*keys, "id", "label")
-        if moved == 0:
-            return state
     raise RuntimeError(f"labels still change after {max_rounds} rounds")

@@ -32,7 +32,12 @@ def explode_ring(polygons: DataFrame) -> DataFrame:
 
 
 def settled(df: DataFrame, column: str = "ring") -> DataFrame:
-    """Evaluate a column once: a one-element generator is not merged into later expressions."""
+    """Evaluate a column once.
+
+    Catalyst copies an expression into the filters and lambdas that use it; a
+    ring would then be rebuilt for every vertex. A one-element generator is not
+    merged, costs no shuffle and keeps null rings.
+    """
     return df.withColumn(column, F.explode_outer(F.array(column)))
 
 
@@ -62,7 +67,7 @@ def orientation(polygons: DataFrame) -> DataFrame:
 
 
 def orient(polygons: DataFrame, clockwise: bool = True) -> DataFrame:
-    return polygons.withColumn("ring", rings.orient(F.col("ring"), clockwise))
+    return settled(polygons.withColumn("ring", rings.orient(F.col("ring"), clockwise)))
 
 
 def fitted_box(
@@ -190,17 +195,17 @@ def snap_int(vertices: DataFrame) -> DataFrame:
 
 
 def strip_closing_vertex(polygons: DataFrame, eps: float = 1.0) -> DataFrame:
-    return polygons.withColumn("ring", rings.strip_closing(F.col("ring"), eps))
+    return settled(polygons.withColumn("ring", rings.strip_closing(F.col("ring"), eps)))
 
 
 def drop_doubles(polygons: DataFrame, eps: float = 0.1) -> DataFrame:
-    return polygons.withColumn("ring", rings.drop_doubles(F.col("ring"), eps))
+    return settled(polygons.withColumn("ring", rings.drop_doubles(F.col("ring"), eps)))
 
 
 def drop_holes(polygons: DataFrame) -> DataFrame:
     """Keep the shell: part 0 of split polygons, or everything before a NaN separator."""
     shells = polygons.where(F.col("part") == 0) if "part" in polygons.columns else polygons
-    return shells.withColumn("ring", rings.cut_at_nan(F.col("ring")))
+    return settled(shells.withColumn("ring", rings.cut_at_nan(F.col("ring"))))
 
 
 # ---------------------------------------------------------------- edges
@@ -323,7 +328,7 @@ def simplify(polygons: DataFrame, tolerance: float = 1.0) -> DataFrame:
         return polygons
     kept = settled(polygons).withColumn("_kept", _kept_positions(lambda i, j: _kept(i, j, tolerance)))
     ring = F.transform("_kept", lambda k: F.get(F.col("ring"), k))
-    return kept.withColumn("ring", ring).drop("_kept")
+    return settled(kept.withColumn("ring", ring).drop("_kept"))
 
 
 def simplify_to_count(polygons: DataFrame, count: int, step: float = 0.1) -> DataFrame:
@@ -339,7 +344,7 @@ def simplify_to_count(polygons: DataFrame, count: int, step: float = 0.1) -> Dat
 
     kept = settled(polygons).withColumn("_kept", _kept_positions(pick))
     ring = F.transform("_kept", lambda k: F.get(F.col("ring"), k))
-    return kept.withColumn("ring", ring).drop("_kept")
+    return settled(kept.withColumn("ring", ring).drop("_kept"))
 
 
 def drop_spikes(faces: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from ringfield.functions import rings
 from ringfield.functions.numeric import count_below, frange
+from ringfield.operators.geometry import settled
 
 # The thresholds of the published experiments.
 ALIGN_THRESHOLDS = frange(0, 16.25, 0.25)
@@ -48,12 +49,12 @@ def matched_rings(gt: DataFrame, pred: DataFrame, keys: list[str] | None = None,
     """
     keys = keys or ["image_id", "poly_id"]
     extra = [c for c in ("source", "map_id") if c in pred.columns and c not in keys]
-    truth = gt.select(*keys, rings.cut_at_nan(F.col("ring")).alias("g"))
+    truth = settled(gt.select(*keys, rings.cut_at_nan(F.col("ring")).alias("g")), "g")
     if eps is not None:
-        truth = truth.withColumn("g", rings.strip_closing(F.col("g"), eps))
+        truth = settled(truth.withColumn("g", rings.strip_closing(F.col("g"), eps)), "g")
     moved = pred.select(*keys, *extra, F.col("ring").alias("p"))
     joined = truth.where(F.size("g") > 0).join(moved, keys)
-    return joined.select(*keys, *extra, _distances(F.col("g"), F.col("p")).alias("d"))
+    return settled(joined.select(*keys, *extra, _distances(F.col("g"), F.col("p")).alias("d")), "d")
 
 
 def distance_summary(gt: DataFrame, pred: DataFrame, by: list[str]) -> DataFrame:

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringfield.functions import rings
 from ringfield.functions.numeric import half_even, uniform
 from ringfield.operators.components import connected_components
+from ringfield.operators.geometry import settled
 
 # ---------------------------------------------------------------- drawing
 
+# A cell centre this close to a slanted side counts as lying on it.
+ON_LINE = 1e-9
+
 
 def _int_rows(low: Column, high: Column) -> Column:
     """Integers in [low, high] as an array, possibly empty."""
@@ -29,6 +34,7 @@ def fill_cells(polygons: DataFrame) -> DataFrame:
     boundary is included on every side.
     """
     keys = [c for c in polygons.columns if c != "ring"]
+    polygons = settled(polygons)
     edge = F.transform(
         F.filter(rings.ring_edges(F.col("ring")), lambda e: e["i1"] != e["i2"]),
         lambda e: F.struct(
@@ -53,7 +59,7 @@ def fill_cells(polygons: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("x") - 2, F.lit(2))
     spans = F.transform(starts, lambda n: F.struct(F.get("x", n).alias("a"), F.get("x", n + 1).alias("b")))
     spanned = crossed.select(*keys, "i", F.explode(spans).alias("s"))
-    return spanned.select(*keys, "i", F.explode(_int_rows(F.col("s.a"), F.col("s.b"))).alias("j"))
+    return spanned.select(*keys, "i", F.explode(_int_rows(F.col("s.a") - ON_LINE, F.col("s.b") + ON_LINE)).alias("j"))
 
 
 def line_cells(edge_rows: DataFrame, width: int = 3) -> DataFrame:
@@ -105,7 +111,7 @@ def rasterize(
     with partial results before the shuffle, so piles of copies stay cheap.
     """
     keys = [c for c in polygons.columns if c not in ("ring", "poly_id", "part")]
-    shells = polygons.select(*keys, rings.cut_at_nan(F.col("ring")).alias("ring")).where(F.size("ring") > 0)
+    shells = settled(polygons.select(*keys, rings.cut_at_nan(F.col("ring")).alias("ring"))).where(F.size("ring") > 0)
     parts: list[DataFrame] = []
     if "fill" in layers:
         parts.append(fill_cells(shells).select(*keys, F.lit("fill").alias("layer"), "i", "j"))
@@ -255,8 +261,8 @@ def blur_cells(cells: DataFrame, keys: list[str], radius: int, std: float) -> Da
 def cell_components(cells: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, i, j, label) for 4-connected cells; the label is the smallest packed position."""
     ids = cells.select(*keys, F.expr("shiftleft(CAST(i AS BIGINT), 32) + j").alias("id"))
-    near = F.explode(F.array(F.lit(1).cast("long"), F.lit(1 << 32)))
-    asked = ids.select(*keys, F.col("id").alias("a"), (F.col("id") + near).alias("b"))
+    near = F.array(F.col("id") + 1, F.col("id") + (1 << 32))
+    asked = ids.select(*keys, F.col("id").alias("a"), F.explode(near).alias("b"))
     links = asked.join(ids.withColumnRenamed("id", "b"), [*keys, "b"], "left_semi")
     labels = connected_components(ids, links, keys)
     return labels.select(
@@ -389,3 +395,62 @@ def mask_boundary(cells: DataFrame, keys: list[str], height: int | None = None,
     )
     bare = asked.join(cells.select(*keys, "i", "j"), [*keys, "i", "j"], "left_anti")
     return bare.select(*keys, "i1", "j1", "i2", "j2")
+
+
+def boundary_rings(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Closed outlines of a mask: (keys, start, ring, outer), corners of straight runs left out.
+
+    Every directed side points to the side it continues with (at a pinched
+    corner the one turning right, so that 4-connected parts stay apart). Sides
+    of one outline are found as connected components and each outline, one
+    record of the result, is walked in its own group.
+    """
+    sides = mask_boundary(cells, keys)
+    packed = "shiftleft(CAST({i} AS BIGINT), 32) + {j}"
+    named = sides.select(
+        *keys, "i1", "j1", "i2", "j2",
+        F.expr(packed.format(i="i1", j="j1")).alias("tail"), F.expr(packed.format(i="i2", j="j2")).alias("head"),
+        (F.col("i2") - F.col("i1")).alias("ui"), (F.col("j2") - F.col("j1")).alias("uj"),
+    )
+    # Four directions make a side's id unique: its tail and where it points.
+    heading = F.when(F.col("uj") == 1, 0).when(F.col("ui") == 1, 1).when(F.col("uj") == -1, 2).otherwise(3)
+    numbered = named.withColumn("id", F.col("tail") * 4 + heading).withColumn("heading", heading)
+    nexts = numbered.select(*keys, F.col("tail").alias("head"), F.col("id").alias("next"), F.col("heading").alias("to"))
+    joined = numbered.join(nexts, [*keys, "head"])
+    turn = F.pmod(F.col("to") - F.col("heading") + 3, F.lit(4))  # right turn 0, straight 3, left 2
+    order = F.when(turn == 0, 0).when(turn == 3, 1).otherwise(2)
+    followed = joined.groupBy(*keys, "id", "heading", "i1", "j1").agg(F.min_by(F.struct("next", "to"), order).alias("n"))
+    links = followed.select(*keys, F.col("id").alias("a"), F.col("n.next").alias("b"))
+    labels = connected_components(followed.select(*keys, "id"), links, keys)
+    rows = followed.join(labels, [*keys, "id"]).select(
+        *keys, "label", F.struct("id", F.col("n.next").alias("next"), "i1", "j1").alias("s")
+    )
+    outlines = rows.groupBy(*keys, "label").agg(F.collect_list("s").alias("s"))
+
+    @F.pandas_udf("array<int>")
+    def walk(ids: pd.Series, nexts: pd.Series) -> pd.Series:
+        orders = []
+        for own, then in zip(ids, nexts):
+            at = {side: n for n, side in enumerate(own)}
+            first = min(own)
+            order, side = [], first
+            while True:
+                order.append(at[side])
+                side = then[at[side]]
+                if side == first:
+                    break
+            orders.append(order)
+        return pd.Series(orders)
+
+    walked = outlines.withColumn("order", walk(F.col("s.id"), F.col("s.next")))
+    full = F.transform("order", lambda n: rings.point(F.get("s", n)["i1"].cast("double"), F.get("s", n)["j1"].cast("double")))
+    drawn = settled(walked.select(*keys, F.col("label").alias("start"), full.alias("ring")))
+    ring = F.col("ring")
+
+    def bends(p: Column, k: Column) -> Column:
+        size = F.size(ring)
+        before, after = F.get(ring, (k + size - 1) % size), rings.following(ring, k)
+        return (p["i"] - before["i"] != after["i"] - p["i"]) | (p["j"] - before["j"] != after["j"] - p["j"])
+
+    corners = settled(drawn.withColumn("ring", F.filter("ring", bends)))
+    return corners.withColumn("outer", ~rings.is_clockwise(F.col("ring")))
