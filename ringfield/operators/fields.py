@@ -30,13 +30,13 @@ def apply_field(
     cells, which are few against the interior. Vertices with NaN coordinates
     (separators) stay as they are.
 
-    `height` and `width` are numbers, or columns carried by both tables. Rows for
+    `height` and `width` are numbers, or columns carried by both tables; a field
+    with a `border` flag needs them on the vertices only. Rows for
     which `where` is false, or whose field is absent, keep their position when
     `where` is given (a left join); they are spread as well.
     """
     size = [F.lit(s) if not isinstance(s, str) else F.col(s) for s in (height, width)]
     shared = [c for c in ("image_id", "ds_fac") if c in field.columns and c in vertices.columns]
-    carried = [s for s in (height, width) if isinstance(s, str)]
     maps = ["map_id"] if "map_id" in field.columns else []
     if maps and "map_id" in vertices.columns:
         shared.append("map_id")
@@ -51,11 +51,14 @@ def apply_field(
         slice_ = F.when(where, slice_).otherwise(-1 - F.pmod(F.xxhash64(*identity), F.lit(1024)).cast("int"))
     located = vertices.withColumns({"ci": ci, "cj": cj}).withColumn("slice", slice_)
 
-    at_edge = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == size[0] - 1) | (F.col("j") == size[1] - 1)
+    if "border" in field.columns:
+        at_edge = F.col("border")
+    else:
+        at_edge = (F.col("i") == 0) | (F.col("j") == 0) | (F.col("i") == size[0] - 1) | (F.col("j") == size[1] - 1)
     copies = F.when(at_edge, F.sequence(F.lit(0), F.lit(edge_slices - 1))).otherwise(F.array(F.lit(0)))
     vectors = field.select(
         *shared, *maps, F.col("i").cast("int").alias("ci"), F.col("j").cast("int").alias("cj"),
-        "di", "dj", F.explode(copies).alias("slice"), *[c for c in carried if c not in shared and c not in vertices.columns],
+        "di", "dj", F.explode(copies).alias("slice"),
     )
     moved = located.join(vectors, [*shared, "ci", "cj", "slice"], "inner" if where is None else "left")
     step = F.lit(float(sign) * float(scale))

@@ -31,6 +31,24 @@ def level_shape(images: DataFrame, ds_fac: int, reference: float, margin: int) -
     return sized.withColumns({"fh": F.col("lh") - 2 * margin, "fw": F.col("lw") - 2 * margin})
 
 
+def mark_border(field: DataFrame, shape: DataFrame) -> DataFrame:
+    """Flags the cells vertices are clipped to: the border of each image's field.
+
+    A field shared by all images carries the borders of every size in use.
+    """
+    low = (F.col("i") == 0) | (F.col("j") == 0)
+    if "image_id" in field.columns:
+        sized = field.join(shape.select("image_id", "fh", "fw"), "image_id")
+        high = (F.col("i") == F.col("fh") - 1) | (F.col("j") == F.col("fw") - 1)
+        return sized.withColumn("border", low | high).drop("fh", "fw")
+    marks = {}
+    for axis, size in (("i", "fh"), ("j", "fw")):
+        marks[axis] = shape.select((F.col(size) - 1).alias(axis)).distinct().withColumn(f"last_{axis}", F.lit(True))
+    flagged = field.join(marks["i"], "i", "left").join(marks["j"], "j", "left")
+    high = F.coalesce("last_i", F.lit(False)) | F.coalesce("last_j", F.lit(False))
+    return flagged.withColumn("border", low | high).drop("last_i", "last_j")
+
+
 def align_level(
     vertices: DataFrame, images: DataFrame, field: DataFrame, ds_fac: int,
     reference: float = REFERENCE_PIXELSIZE, input_res: int = INPUT_RES, output_res: int = OUTPUT_RES,
@@ -45,11 +63,7 @@ def align_level(
         {"i0": F.col("i"), "j0": F.col("j"), "fits": (F.col("lh") >= input_res) & (F.col("lw") >= input_res)}
     )
     local = placed.withColumns({c: F.col(c) / F.col("factor") - margin for c in ("i", "j")})
-    if "image_id" in field.columns:
-        vectors = field.join(shape.select("image_id", "fh", "fw"), "image_id")
-    else:
-        # A field shared by all images is repeated for each size in use, of which there are few.
-        vectors = field.join(shape.select("fh", "fw").distinct(), (F.col("i") < F.col("fh")) & (F.col("j") < F.col("fw")))
+    vectors = mark_border(field, shape)
     moved = apply_field(local, vectors, "fh", "fw", where=F.col("fits"))
     back = {c: F.when(F.col("fits"), (F.col(c) + margin) * F.col("factor")).otherwise(F.col(f"{c}0")) for c in ("i", "j")}
     return moved.withColumns(back).select(*vertices.columns)
@@ -94,13 +108,13 @@ def predict_and_align(
 
 def align_round(
     spark: SparkSession, path: str, source: str, next_source: str, images: DataFrame, fields: dict[int, DataFrame],
-    levels: Sequence[int] = LEVELS, **settings,
+    levels: Sequence[int] = LEVELS, tolerance: float = 1.0, **settings,
 ) -> DataFrame | None:
     """Clean and align one stored polygon version and store it as the next; None when it does not exist."""
     rows = load_round(spark, path, source)
     if rows is None:
         return None
-    cleaned = clean_polygons(rows)
+    cleaned = clean_polygons(rows, tolerance=tolerance)
     keys = [c for c in cleaned.columns if c not in ("ring", "source")]
     aligned = multires_align(explode_ring(cleaned.drop("source")), images, fields, levels, **settings)
     save_round(collect_rings(aligned, *keys), path, next_source)

@@ -1 +1,219 @@
-"""placeholder"""
+"""End-to-end work on many images."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ringfield import fixtures as X
+from ringfield.functions import rings
+from ringfield.operators import geometry as G
+from ringfield.plans import align as A
+from ringfield.plans import evaluate as Ev
+from ringfield.plans import examples as Ex
+from ringfield.plans import heights as H
+from ringfield.plans import predict as P
+from ringfield.registry.base import register, with_views
+from ringfield.registry.curves import CENTRES, HEIGHTS, TANGENTS
+from ringfield.session import scratch_path
+from ringfield.sources import catalog as C
+
+IDS = ["image_id", "poly_id"]
+# Reference pixel 0.25 m: levels 16 and 8 have 313 to 1250 pixels a side.
+SETTINGS = {"levels": (16, 8), "reference": 0.25}
+
+
+def _fields(spark):
+    sides = {16: 625, 8: 1250}
+    return {level: X.field(spark, side).where("map_id = 0").drop("map_id") for level, side in sides.items()}
+
+
+def _level_sql(source: str, level: int, extra: str = "") -> str:
+    """One level over shared fields: fields are defined by position, so no table is needed."""
+    f, n = f"({level} * 0.25::DOUBLE / pixelsize)", 120
+    return f"""SELECT image_id, poly_id, k{extra}, pixelsize,
+      (x + ((ci * 7 + cj * 3) % 17 - 8) * 0.25::DOUBLE + 60) * {f} AS i, (y + ((ci * 5 + cj * 11) % 17 - 8) * 0.25::DOUBLE + 60) * {f} AS j
+    FROM (SELECT *, CAST(least(greatest(round_even(x, 0), 0), round_even(5000 / {f}, 0) - {n} - 1) AS BIGINT) AS ci,
+      CAST(least(greatest(round_even(y, 0), 0), round_even(5000 / {f}, 0) - {n} - 1) AS BIGINT) AS cj
+      FROM (SELECT *, i / {f} - 60 AS x, j / {f} - 60 AS y FROM {source}))"""
+
+
+START = "SELECT p.image_id, p.poly_id, p.k, p.i, p.j, m.pixelsize FROM pred p JOIN images m USING (image_id)"
+
+
+@register(
+    "align_two_levels",
+    with_views("SELECT image_id, poly_id, k, i, j FROM fine", "pred", "images", start=START, coarse=_level_sql("start", 16), fine=_level_sql("coarse", 8)),
+)
+def align_two_levels(spark, sf):
+    v = G.explode_ring(X.predicted(spark, sf)).select(*IDS, "k", "i", "j")
+    return A.multires_align(v, X.images(spark, sf), _fields(spark), **SETTINGS)
+
+
+@register(
+    "align_small_images",
+    with_views(
+        """SELECT image_id, poly_id, k, i, j FROM start WHERE image_id % 2 = 0 UNION ALL SELECT image_id, poly_id, k, i, j FROM coarse WHERE image_id % 2 = 1""",
+        "pred", "images", start=START, coarse=_level_sql("start", 16),
+    ),
+)
+def align_small_images(spark, sf):
+    """Images of 313 pixels at level 16 are below this network's input of 400 and stay as they are."""
+    v = G.explode_ring(X.predicted(spark, sf)).select(*IDS, "k", "i", "j")
+    return A.multires_align(v, X.images(spark, sf), {16: _fields(spark)[16]}, (16,), 0.25, 400, 280)
+
+
+ALIGNED_D = """SELECT f.image_id, sqrt((v.i - f.i) * (v.i - f.i) + (v.j - f.j) * (v.j - f.j)) AS d FROM fine f JOIN vertices v USING (image_id, poly_id, k)"""
+
+
+@register(
+    "evaluate_alignment",
+    with_views(
+        """SELECT threshold, round(min(value), 6) AS low, round(avg(value), 6) AS mean, round(max(value), 6) AS high, round(stddev_pop(value), 6) AS deviation FROM (
+          SELECT image_id, threshold, avg(CASE WHEN d <= threshold THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS value FROM d CROSS JOIN thresholds GROUP BY image_id, threshold) GROUP BY threshold""",
+        "pred", "images", "thresholds", start=START, coarse=_level_sql("start", 16), fine=_level_sql("coarse", 8), d=ALIGNED_D,
+    ),
+)
+def evaluate_alignment(spark, sf):
+    """Cleaned, aligned over two levels and measured. Tolerance 0 keeps every vertex."""
+    gt = X.polygons(spark, sf).select(*IDS, "ring")
+    moved = X.predicted(spark, sf).select(*IDS, "ring")
+    _, bands, _ = Ev.evaluate_alignment(gt, X.images(spark, sf), _fields(spark), displaced=moved, tolerance=0.0, **SETTINGS)
+    return bands.select("threshold", *[F.round(c, 6).alias(c) for c in ("low", "mean", "high", "deviation")])
+
+
+@register(
+    "test_displacements",
+    with_views(
+        """SELECT image_id, CAST(map_id AS INT) AS map_id, t.n::DOUBLE AS threshold, round(avg(CASE WHEN sqrt(di * di + dj * dj) <= t.n THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 6) AS value FROM (
+          SELECT v.image_id, m.map_id, ((ci * 7 + cj * 3 + m.map_id * 5) % 17 - 8) * 4.0::DOUBLE AS di, ((ci * 5 + cj * 11 + m.map_id * 3) % 17 - 8) * 4.0::DOUBLE AS dj
+          FROM (SELECT *, CAST(least(greatest(round_even(i, 0), 0), 624) AS BIGINT) AS ci, CAST(least(greatest(round_even(j, 0), 0), 624) AS BIGINT) AS cj FROM vertices) v
+          CROSS JOIN (VALUES (0), (1)) AS m(map_id)) CROSS JOIN range(0, 17) AS t(n) GROUP BY image_id, map_id, t.n""",
+        "vertices",
+    ),
+)
+def test_displacements(spark, sf):
+    """Fields in [-1, 1] times 32 pixels; the baseline at whole thresholds."""
+    f = X.field(spark).selectExpr("map_id", "i", "j", "di * 0.5D AS di", "dj * 0.5D AS dj")
+    _, base = Ev.make_test_displacements(X.polygons(spark, sf).select(*IDS, "ring"), f, X.FIELD_SIDE, X.FIELD_SIDE, 32.0)
+    return base.select("image_id", "map_id", "threshold", F.round("value", 6).alias("value"))
+
+
+@register(
+    "align_round",
+    with_views("SELECT image_id, poly_id, k, i, j FROM fine", "pred", "images", start=START, coarse=_level_sql("start", 16), fine=_level_sql("coarse", 8)),
+)
+def align_round(spark, sf):
+    """A stored version aligned and stored as the next. Buildings keep all corners at tolerance 1."""
+    path = scratch_path(spark, "align")
+    C.save_round(X.predicted(spark, sf).select(*IDS, "ring"), path, "gt_polygons")
+    rows = A.align_round(spark, path, "gt_polygons", "aligned_gt_polygons", X.images(spark, sf), _fields(spark), tolerance=0.0, **SETTINGS)
+    return G.explode_ring(rows.select(*IDS, "ring"))
+
+
+@register(
+    "heights_stored",
+    with_views(
+        """SELECT h.image_id, h.poly_id, round(h.height / 4.39::DOUBLE, 6) AS height, true AS written, a.area * 0.25::DOUBLE AS square_metres FROM heights h JOIN areas a USING (image_id, poly_id)""",
+        "view_vertices", "areas", centres=CENTRES, heights=HEIGHTS,
+    ),
+)
+def heights_stored(spark, sf):
+    v = X.view_polygons(spark, sf).withColumn("props", F.create_map(F.lit("HEIGHT"), F.lit("0")))
+    out = H.heights_with_props(v, TANGENTS, "ref", 0.5, 4.39)
+    written = F.col("props")["HEIGHT"] == F.col("height").cast("string")
+    return out.select(*IDS, F.round("height", 6).alias("height"), written.alias("written"), rings.area(F.col("metric_ring")).alias("square_metres"))
+
+
+@register(
+    "user_image",
+    with_views("SELECT image_id, poly_id, k, i, j FROM fine WHERE image_id <> 3", "pred", "images", start=START, coarse=_level_sql("start", 16), fine=_level_sql("coarse", 8)),
+)
+def user_image(spark, sf):
+    """Image 3 does not reach its polygons and is left out of the alignment."""
+    m = X.images(spark, sf).withColumn("width", F.when(F.col("image_id") == 3, -1).otherwise(F.col("width")))
+    pixels = X.cells(spark, sf)
+    _, _, aligned = A.align_user_image(pixels, X.predicted(spark, sf).select(*IDS, "ring"), m, _fields(spark), **SETTINGS)
+    return G.explode_ring(aligned)
+
+
+def _tiles(spark, sf):
+    """Each embedding as a bytes image with three equal bands, 8 x 8."""
+    c = X.cells(spark, sf).withColumn("b", F.explode(F.array(*[F.lit(n) for n in range(3)])))
+    return c.selectExpr("image_id", "b AS band", "i", "j", "greatest(least(value * 100 + 100, 255D), 0D) AS value")
+
+
+def _echo(images, maps):
+    """Displacement from the first two bands, segmentation from the mean band."""
+    inner = images[:, 1:-1, 1:-1, :]
+    level = (inner.mean(axis=-1, keepdims=True) + 1) / 2
+    return inner[..., :2] * 0.5, level.repeat(4, axis=-1)
+
+
+@register(
+    "predict_patches",
+    with_views(
+        """SELECT image_id, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round((v / 255 * 2 - 1) * 4, 6) AS di, round(v / 255, 6) AS fill
+        FROM (SELECT *, greatest(least(value * 100 + 100, 255), 0) AS v FROM cells) WHERE i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6""",
+        "cells",
+    ),
+)
+def predict_patches(spark, sf):
+    """Patches of 4 with an output of 2 over 8 x 8 tiles, batches of 12; the model echoes its input."""
+    pixels = _tiles(spark, sf)
+    images = pixels.select("image_id").distinct().selectExpr("image_id", "8 AS height", "8 AS width")
+    cells = pixels.where("band = 0").selectExpr("image_id", "'fill' AS layer", "i", "j", "value")
+    out = P.predict_patches(pixels, cells, images, _echo, 4, 2)
+    return out.select("image_id", "i", "j", F.round("di", 6).alias("di"), F.round("fill", 6).alias("fill"))
+
+
+@register(
+    "detect_new",
+    with_views(
+        """SELECT image_id, n.n / 100.0::DOUBLE AS threshold, CAST(count(*) FILTER (WHERE n.n / 100.0::DOUBLE < v AND g) AS BIGINT) AS inter, CAST(count(*) FILTER (WHERE n.n / 100.0::DOUBLE < v OR g) AS BIGINT) AS uni
+        FROM (SELECT image_id, (i BETWEEN 2 AND 5 AND j BETWEEN 3 AND 4) OR (i BETWEEN 3 AND 4 AND j = 5) AS g, (greatest(least(value * 100 + 100, 255), 0) / 255.0::DOUBLE * 2.0::DOUBLE - 1 + 1) / 2 AS v
+          FROM cells WHERE i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6) CROSS JOIN range(0, 101) AS n(n) GROUP BY image_id, n.n""",
+        "cells",
+    ),
+)
+def detect_new(spark, sf):
+    """A square of four cells and the wide lines of its three drawn sides as truth; one cell of margin."""
+    pixels = _tiles(spark, sf)
+    images = pixels.select("image_id").distinct().selectExpr("image_id", "8 AS height", "8 AS width")
+    corners = F.array(*[rings.point(F.lit(a), F.lit(b)) for a, b in ((2.6, 2.6), (2.6, 4.4), (4.4, 4.4), (4.4, 2.6))])
+    gt = images.select("image_id", corners.alias("ring"))
+    out = Ev.detect_new(pixels, gt, images, _echo, input_res=4, output_res=2)
+    return out.select("image_id", "threshold", "inter", "uni")
+
+
+@register("build_patches")
+def build_patches(spark, sf):
+    """Patch tables of level 16 over all buildings, counted per image; the parts are checked on their own."""
+    images = X.images(spark, sf).selectExpr("*", "IF(image_id % 4 = 0, 'val', 'train') AS fold", "1 AS min_ds_fac")
+    polygons = X.polygons(spark, sf).select(*IDS, "ring")
+    # A field of its own for every image, every position derived from the image id.
+    side = 625
+    cells = images.select("image_id", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("i")).withColumn(
+        "j", F.explode(F.sequence(F.lit(0), F.lit(side - 1)))
+    )
+    field = cells.selectExpr(
+        "image_id", "0 AS map_id", "i", "j", "((i * 7 + j * 3 + image_id) % 17 - 8) * 0.125D AS di", "((i * 5 + j * 11) % 17 - 8) * 0.125D AS dj"
+    )
+    tables = Ex.build_patches(images, polygons, {16: field}, (16,), 0.25, 100, 220)
+    counts = [df.groupBy("image_id", "ds_fac").agg(F.count("*").alias("n")).withColumn("name", F.lit(name)) for name, df in tables.items()]
+    union = counts[0]
+    for part in counts[1:]:
+        union = union.unionByName(part)
+    return union
+
+
+@register("augment_examples")
+def augment_examples(spark, sf):
+    """Random but repeatable; checked for repeatability in the tests."""
+    pixels = _tiles(spark, sf)
+    cells = X.cells(spark, sf).where("value > 0").select(
+        "image_id", F.explode(F.array(F.lit("fill"), F.lit("edge"), F.lit("vertex"))).alias("layer"), "i", "j", F.lit(1.0).alias("value")
+    )
+    field = X.cells(spark, sf).selectExpr("image_id", "i", "j", "value AS di", "value * 0.5D AS dj")
+    out = Ex.augment_examples(pixels, cells, field, 8, 8, 6, 4, seed=3, keep=0.5)
+    return out["field"].select("image_id", "i", "j", F.round("di", 6).alias("di"), F.round("dj", 6).alias("dj"))
+

@@ -61,10 +61,10 @@ def newest_run(runs: DataFrame) -> DataFrame:
 
 
 def parse_run_paths(paths: DataFrame) -> DataFrame:
-    """Splits `name | timestamp` directory names."""
+    """Splits `name | timestamp` directory names; the text carries no time zone, so the result has none."""
     parts = F.split("path", r" \| ")
     return paths.select(
-        F.element_at(F.split(parts[0], "/"), -1).alias("run_name"), F.to_timestamp(parts[1]).alias("ts"), "path"
+        F.element_at(F.split(parts[0], "/"), -1).alias("run_name"), F.to_timestamp_ntz(parts[1]).alias("ts"), "path"
     )
 
 
