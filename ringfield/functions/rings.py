@@ -136,62 +136,71 @@ def cyclic_match(a: Column, b: Column, metric: str = "l2") -> Column:
     sum of the two coordinate differences, kept for comparison with older runs.
     """
     length = F.greatest(F.size(a), F.size(b))
-    left, right = pad(a, length), pad(b, length)
+
+    def at(ring: Column, k: Column) -> Column:
+        return F.get(ring, F.least(k, F.size(ring) - 1))
 
     def gap(p: Column, q: Column) -> Column:
         if metric == "sum":
             return F.abs((p["i"] - q["i"]) + (p["j"] - q["j"]))
         return distance(p, q)
 
+    places = F.sequence(F.lit(0), length - 1)
+
     def attempt(s: Column) -> Column:
-        gaps = F.transform(right, lambda q, k: gap(F.get(left, F.pmod(k - s, length)), q))
-        mean = F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g) / length
-        return F.struct(mean.alias("mean"), s.alias("shift"), gaps.alias("distances"))
+        gaps = F.transform(places, lambda k: gap(at(a, F.pmod(k - s, length)), at(b, k)))
+        total = F.aggregate(gaps, F.lit(0.0), lambda t, g: t + g)
+        return F.struct((total / length).alias("mean"), s.alias("shift"), gaps.alias("distances"))
+
+    return F.array_min(F.transform(places, attempt))
+
+
+def strips(ring: Column) -> Column:
+    """Sides of a ring as signed linear functions of the row: array of (lo, hi, at_lo, slope, sign).
+
+    The ring is the signed sum of the strips between its sides and a base line;
+    sides along the base line have no width and are left out.
+    """
+    turn = F.signum(doubled_area(ring))
+    marked = F.transform(ring, lambda p, k: F.struct(p.alias("p"), following(ring, k).alias("q")))
+
+    def strip(m: Column) -> Column:
+        p, q = m["p"], m["q"]
+        forward = p["i"] < q["i"]
+        return F.struct(
+            F.least(p["i"], q["i"]).alias("lo"),
+            F.greatest(p["i"], q["i"]).alias("hi"),
+            F.when(forward, p["j"]).otherwise(q["j"]).alias("at_lo"),
+            ((q["j"] - p["j"]) / (q["i"] - p["i"])).alias("slope"),
+            F.when(forward, F.lit(-1.0)).otherwise(F.lit(1.0)).alias("way"),
+        )
 
-    return F.array_min(F.transform(F.sequence(F.lit(0), length - 1), attempt))
+    found = F.transform(F.filter(marked, lambda m: m["p"]["i"] != m["q"]["i"]), strip)
+    return F.struct(turn.alias("turn"), found.alias("sides"))
 
 
-def overlap_area(a: Column, b: Column) -> Column:
-    """Area shared by two simple rings, exact, for any orientation and without convexity.
+def strip_overlap(a: Column, b: Column, base: Column) -> Column:
+    """Area shared by two simple rings given as `strips`: exact, for any orientation and without convexity.
 
-    A ring is the signed sum of the strips between its edges and a base line,
-    so the shared area is the signed sum, over pairs of edges, of the integral
-    of the lower of two linear functions: closed form, no clipping.
+    It is the signed sum, over pairs of sides, of the integral of the lower of
+    two linear functions: closed form, no clipping. `base` lies below both.
+    Pass stored or settled columns, the expression reads them once per side.
     """
-    base = F.least(box(a)["c0"], box(b)["c0"])
-
-    def strips(ring: Column) -> Column:
-        turn = F.signum(doubled_area(ring))
-
-        def strip(p: Column, k: Column) -> Column:
-            q = following(ring, k)
-            forward = p["i"] < q["i"]
-            return F.struct(
-                F.least(p["i"], q["i"]).alias("lo"),
-                F.greatest(p["i"], q["i"]).alias("hi"),
-                (F.when(forward, p["j"]).otherwise(q["j"]) - base).alias("at_lo"),
-                ((q["j"] - p["j"]) / (q["i"] - p["i"])).alias("slope"),
-                F.when(forward, -turn).otherwise(turn).alias("sign"),
-            )
-
-        marked = F.transform(ring, lambda p, k: F.struct(p.alias("p"), k.alias("k")))
-        slanted = F.filter(marked, lambda m: m["p"]["i"] != following(ring, m["k"])["i"])
-        return F.transform(slanted, lambda m: strip(m["p"], m["k"]))
 
     def shared(s: Column, t: Column) -> Column:
         lo, hi = F.greatest(s["lo"], t["lo"]), F.least(s["hi"], t["hi"])
         width = hi - lo
-        s0 = s["at_lo"] + s["slope"] * (lo - s["lo"])
-        s1 = s["at_lo"] + s["slope"] * (hi - s["lo"])
-        t0 = t["at_lo"] + t["slope"] * (lo - t["lo"])
-        t1 = t["at_lo"] + t["slope"] * (hi - t["lo"])
+        s0 = s["at_lo"] - base + s["slope"] * (lo - s["lo"])
+        s1 = s["at_lo"] - base + s["slope"] * (hi - s["lo"])
+        t0 = t["at_lo"] - base + t["slope"] * (lo - t["lo"])
+        t1 = t["at_lo"] - base + t["slope"] * (hi - t["lo"])
         d0, d1 = s0 - t0, s1 - t1
         spread = F.abs(d0) + F.abs(d1)
         gap = F.when(d0 * d1 >= 0, spread * 0.5).otherwise((d0 * d0 + d1 * d1) / (spread * 2.0))
         lower = (s0 + s1 + t0 + t1) * 0.25 - gap * 0.5
-        return F.when(width > 0, s["sign"] * t["sign"] * width * lower).otherwise(F.lit(0.0))
+        return F.when(width > 0, s["way"] * t["way"] * width * lower).otherwise(F.lit(0.0))
 
     def against(total: Column, s: Column) -> Column:
-        return F.aggregate(strips(b), total, lambda acc, t: acc + shared(s, t))
+        return F.aggregate(b["sides"], total, lambda acc, t: acc + shared(s, t))
 
-    return F.aggregate(strips(a), F.lit(0.0), against)
+    return a["turn"] * b["turn"] * F.aggregate(a["sides"], F.lit(0.0), against)

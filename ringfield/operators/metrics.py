@@ -88,15 +88,21 @@ def accuracy_curve(distances: DataFrame, by: list[str], thresholds: Sequence[flo
     hist = counted.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("h"), F.sum("n").alias("total")
     )
-    literal = F.array(*[F.lit(t) for t in grid])
-    points = hist.select(*by, "h", "total", F.posexplode(literal).alias("pos", "threshold"))
-    hits = F.aggregate(
-        F.sequence(F.lit(0), F.col("pos")), F.lit(0).cast("long"),
-        lambda t, b: t + F.coalesce(F.try_element_at("h", b), F.lit(0)),
-    )
+    counts = F.transform(F.sequence(F.lit(0), F.lit(len(grid) - 1)), lambda b: F.coalesce(F.try_element_at("h", b), F.lit(0)))
+    sums = settled(hist.select(*by, "total", running_sum(counts).alias("s")), "s")
+    points = sums.select(*by, "s", "total", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("pos", "threshold"))
+    hits = F.get("s", F.col("pos"))
     return points.select(*by, "threshold", (hits / F.col("total")).alias("value"), F.col("total").alias("n"))
 
 
+def running_sum(counts: Column) -> Column:
+    """Prefix sums of an array of counts, which has one entry per threshold."""
+    grown = F.aggregate(
+        counts, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n))
+    )
+    return F.slice(grown, F.lit(2), F.size(counts))
+
+
 def threshold_accuracy(
     gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = ALIGN_THRESHOLDS,
     by: list[str] | None = None, keys: list[str] | None = None,
@@ -151,20 +157,24 @@ def mask_iou_curve(
     hist = counted.groupBy(*by).agg(
         F.map_from_entries(F.collect_list(F.struct("b", F.struct("n", "g")))).alias("h"), F.sum("g").alias("total")
     )
-    points = hist.select(*by, "h", "total", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("pos", "threshold"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("g"))
+    places = F.sequence(F.lit(0), F.lit(len(grid)))
+    dense = {f: F.transform(places, _bin_reader(f)) for f in ("n", "g")}
+    sums = settled(
+        hist.select(*by, "total", F.struct(*[running_sum(c).alias(f) for f, c in dense.items()]).alias("s")), "s"
+    )
+    points = sums.select(*by, "s", "total", F.posexplode(F.array(*[F.lit(t) for t in grid])).alias("pos", "threshold"))
 
-    def add(t: Column, b: Column) -> Column:
-        bin_ = F.try_element_at("h", b)
-        return F.struct(
-            (t["n"] + F.coalesce(bin_["n"], F.lit(0))).alias("n"), (t["g"] + F.coalesce(bin_["g"], F.lit(0))).alias("g")
-        )
+    def above(f: str) -> Column:
+        return F.get(F.col(f"s.{f}"), F.lit(len(grid))) - F.get(F.col(f"s.{f}"), F.col("pos"))
 
-    above = points.withColumn("a", F.aggregate(F.sequence(F.col("pos") + 1, F.lit(len(grid))), start, add))
-    inter = F.col("a.g")
-    union = F.col("total") + F.col("a.n") - F.col("a.g")
+    inter = above("g")
+    union = F.col("total") + above("n") - above("g")
     iou = F.when(union > 0, inter / F.nullif(union, F.lit(0)))
-    return above.select(*by, "threshold", inter.alias("inter"), union.alias("uni"), iou.alias("iou"))
+    return points.select(*by, "threshold", inter.alias("inter"), union.alias("uni"), iou.alias("iou"))
+
+
+def _bin_reader(name: str):
+    return lambda b: F.coalesce(F.try_element_at("h", b)[name], F.lit(0))
 
 
 # ---------------------------------------------------------------- curves

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ringfield.functions import rings
-from ringfield.operators.geometry import project_lonlat, world_to_image
+from ringfield.operators.geometry import project_lonlat, settled, world_to_image
 from ringfield.operators.skew import skew_join
 from ringfield.operators.tiles import bucket, explode_buckets
 
@@ -40,13 +40,13 @@ def parse_wide_rows(lines: DataFrame, skip: int = 3) -> DataFrame:
     tokens = F.split("line", ",")
     wanted = F.slice(tokens, F.lit(skip + 1), F.greatest(F.size(tokens) - skip, F.lit(0)))
     numbers = F.filter(F.transform(wanted, lambda t: F.trim(t).try_cast("double")), lambda v: v.isNotNull())
-    flat = lines.select(*keys, numbers.alias("v"))
+    flat = settled(lines.select(*keys, numbers.alias("v")), "v")
     v = F.col("v")
     count = F.floor(F.size(v) / 2).cast("int")
     pairs = F.when(
         count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda n: rings.point(F.get(v, 2 * n + 1), F.get(v, 2 * n)))
     )
-    return split_parts(flat.select(*keys, pairs.alias("ring")).where(F.col("ring").isNotNull()))
+    return split_parts(settled(flat.select(*keys, pairs.alias("ring"))).where(F.col("ring").isNotNull()))
 
 
 def split_parts(polygons: DataFrame) -> DataFrame:
@@ -56,7 +56,8 @@ def split_parts(polygons: DataFrame) -> DataFrame:
     stops = F.filter(
         F.transform(ring, lambda p, k: F.when(F.isnan(p["i"]) | F.isnan(p["j"]), k)), lambda k: k.isNotNull()
     )
-    ends = F.concat(stops, F.array(F.size(ring)))
+    marked = settled(polygons.withColumn("_ends", F.concat(stops, F.array(F.size(ring)))), "_ends")
+    ends = F.col("_ends")
     parts = F.transform(
         ends,
         lambda e, n: F.slice(
@@ -66,7 +67,7 @@ def split_parts(polygons: DataFrame) -> DataFrame:
         ),
     )
     kept = F.filter(parts, lambda p: F.size(p) > 0)
-    return polygons.select(*keys, F.posexplode(kept).alias("part", "ring"))
+    return marked.select(*keys, F.posexplode(kept).alias("part", "ring"))
 
 
 def coco_polygons(annotations: DataFrame, images: DataFrame | None = None) -> DataFrame:
