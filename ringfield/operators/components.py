@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ringfield.operators.skew import shuffled
 from ringfield.session import cut_lineage
 
 
@@ -26,19 +27,19 @@ def connected_components(
     links = cut_lineage(both)
     # The first round needs no join: the labels are the ids.
     best = links.groupBy(*keys, "id").agg(F.min("other").alias("seen"))
-    first = nodes.select(*keys, "id").join(best, [*keys, "id"], "left")
+    first = nodes.select(*keys, "id").join(shuffled(best), [*keys, "id"], "left")
     state = cut_lineage(first.select(*keys, "id", F.least("id", F.coalesce("seen", "id")).alias("label")))
     for _ in range(max_rounds):
         theirs = state.select(*keys, F.col("id").alias("other"), F.col("label").alias("seen"))
-        best = links.join(theirs, [*keys, "other"]).groupBy(*keys, "id").agg(F.min("seen").alias("seen"))
-        lowered = state.join(best, [*keys, "id"], "left").select(
+        best = links.join(shuffled(theirs), [*keys, "other"]).groupBy(*keys, "id").agg(F.min("seen").alias("seen"))
+        lowered = state.join(shuffled(best), [*keys, "id"], "left").select(
             *keys, "id", F.col("label").alias("old"), F.least("label", F.coalesce("seen", "label")).alias("label")
         )
         # Labels that moved on themselves; most are roots already and need no jump.
         ahead = state.where(F.col("id") != F.col("label")).select(
             *keys, F.col("id").alias("label"), F.col("label").alias("further")
         )
-        jumped = lowered.join(ahead, [*keys, "label"], "left")
+        jumped = lowered.join(shuffled(ahead), [*keys, "label"], "left")
         label = F.coalesce("further", "label")
         state = cut_lineage(jumped.select(*keys, "id", label.alias("label"), (label != F.col("old")).alias("moved")))
         if state.where("moved").isEmpty():

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ringfield.functions.numeric import clamp, half_even, uniform
+from ringfield.operators.skew import shuffled
 
 EDGE_SLICES = 32
 INT16 = 32767.0
@@ -60,7 +60,7 @@ def apply_field(
         *shared, *maps, F.col("i").cast("int").alias("ci"), F.col("j").cast("int").alias("cj"),
         "di", "dj", F.explode(copies).alias("slice"),
     )
-    moved = located.join(vectors, [*shared, "ci", "cj", "slice"], "inner" if where is None else "left")
+    moved = located.join(shuffled(vectors), [*shared, "ci", "cj", "slice"], "inner" if where is None else "left")
     step = F.lit(float(sign) * float(scale))
     added = {c: F.col(c) + F.coalesce(F.col(f"d{c}"), F.lit(0.0)) * step for c in ("i", "j")}
     return moved.withColumns(added).select(*vertices.columns, *maps)
@@ -139,8 +139,9 @@ def gaussian_field(
         "height",
         "width",
     )
-    rows = sizes.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("gh") - 1)))
-    grid = rows.join(packed, "image_id").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gw") - 1)))
+    # Joined before the grid is exploded, so that neither side is larger than one row per image and channel.
+    rows = sizes.join(packed, "image_id").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("gh") - 1)))
+    grid = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("gw") - 1)))
     y = mu_range[0] + span * F.col("i") / F.greatest(F.col("gh") - 1, F.lit(1))
     x = mu_range[0] + span * F.col("j") / F.greatest(F.col("gw") - 1, F.lit(1))
     summed = grid.select(
@@ -278,5 +279,5 @@ def warp_pixels(pixels: DataFrame, field: DataFrame, height, width) -> DataFrame
     )
     bands = pixels.select("image_id", "band", "i", "j", "value")
     inside = F.col("i").between(0, F.lit(height) - 1) & F.col("j").between(0, F.lit(width) - 1)
-    hit = source.where(inside).join(bands, [*keys, "i", "j"])
+    hit = source.where(inside).join(shuffled(bands), [*keys, "i", "j"])
     return hit.select("image_id", *maps, "band", F.col("ti").alias("i"), F.col("tj").alias("j"), "value")

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from ringfield.functions import rings
 from ringfield.functions.numeric import count_below, frange
 from ringfield.operators.geometry import settled
+from ringfield.operators.skew import shuffled
 
 # The thresholds of the published experiments.
 ALIGN_THRESHOLDS = frange(0, 16.25, 0.25)
@@ -31,7 +32,7 @@ def match_vertices(gt: DataFrame, pred: DataFrame, keys: list[str] | None = None
     extra = [c for c in ("source", "map_id") if c in pred.columns and c not in keys]
     truth = gt.select(*keys, F.col("i").alias("gi"), F.col("j").alias("gj"))
     moved = pred.select(*keys, *extra, F.col("i").alias("pi"), F.col("j").alias("pj"))
-    return truth.join(moved, keys)
+    return truth.join(shuffled(moved), keys)
 
 
 def _distances(ring: Column, other: Column) -> Column:
@@ -362,12 +363,12 @@ def displacement_error(
     share = F.col("value") * coef[F.col("layer")] / (F.col("_n") + F.lit(TINY))
     weight = layers.join(sizes, ["image_id", "layer"]).groupBy("image_id", "i", "j").agg(F.sum(share).alias("w"))
     truth = gt.select("image_id", "i", "j", F.col("di").alias("gi"), F.col("dj").alias("gj"))
-    masked = truth.join(weight, ["image_id", "i", "j"])
+    masked = truth.join(shuffled(weight), ["image_id", "i", "j"])
     if pred is None:
         compared = masked.withColumns({"level": F.lit(0), "di": F.lit(0.0), "dj": F.lit(0.0)})
     else:
         levels = pred if "level" in pred.columns else pred.withColumn("level", F.lit(0))
-        compared = masked.join(levels.select("image_id", "level", "i", "j", "di", "dj"), ["image_id", "i", "j"])
+        compared = masked.join(shuffled(levels.select("image_id", "level", "i", "j", "di", "dj")), ["image_id", "i", "j"])
     di, dj = F.col("gi") - F.col("di"), F.col("gj") - F.col("dj")
     return compared.groupBy("image_id", "level").agg(
         F.sum((di * di + dj * dj) * F.col("w")).alias("error"), F.sum("w").alias("weight")
@@ -397,7 +398,7 @@ def segmentation_error(
     for name in weights:
         if name != "bg":
             background = background * (1 - F.coalesce(name, F.lit(0.0)))
-    joined = logits.join(products, ["image_id", "i", "j"], "left").withColumn("bg", background)
+    joined = logits.join(shuffled(products), ["image_id", "i", "j"], "left").withColumn("bg", background)
     z = F.lit(0.0)
     for name in weights:
         z = F.when(F.col("layer") == name, F.coalesce(name, F.lit(0.0))).otherwise(z)

@@ -12,6 +12,7 @@ from ringfield.functions import rings
 from ringfield.functions.numeric import half_even, uniform
 from ringfield.operators.components import connected_components
 from ringfield.operators.geometry import settled
+from ringfield.operators.skew import shuffled
 
 # ---------------------------------------------------------------- drawing
 
@@ -154,7 +155,7 @@ def cells_in_patches(cells: DataFrame, patches: DataFrame, size: float = 128) ->
     keys = [c for c in ("image_id", "ds_fac") if c in patches.columns and c in cells.columns]
     reach = explode_buckets(patches, size).select(*keys, "patch_id", "r0", "c0", "r1", "c1", "bi", "bj")
     placed = cells.withColumns({"bi": bucket(F.col("i"), size), "bj": bucket(F.col("j"), size)})
-    joined = placed.join(reach, [*keys, "bi", "bj"])
+    joined = placed.join(shuffled(reach), [*keys, "bi", "bj"])
     inside = (
         (F.col("i") >= F.col("r0")) & (F.col("i") < F.col("r1")) & (F.col("j") >= F.col("c0")) & (F.col("j") < F.col("c1"))
     )
@@ -202,7 +203,7 @@ def densify(cells: DataFrame, groups: DataFrame, height: int, width: int, value:
     grid = groups.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))
     )
-    return grid.join(cells, [*keys, "i", "j"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+    return grid.join(shuffled(cells), [*keys, "i", "j"], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 
 
 def downsample(cells: DataFrame, factor: int, keys: list[str], values: tuple[str, ...] = ("value",)) -> DataFrame:
@@ -263,7 +264,7 @@ def cell_components(cells: DataFrame, keys: list[str]) -> DataFrame:
     ids = cells.select(*keys, F.expr("shiftleft(CAST(i AS BIGINT), 32) + j").alias("id"))
     near = F.array(F.col("id") + 1, F.col("id") + (1 << 32))
     asked = ids.select(*keys, F.col("id").alias("a"), F.explode(near).alias("b"))
-    links = asked.join(ids.withColumnRenamed("id", "b"), [*keys, "b"], "left_semi")
+    links = asked.join(shuffled(ids.withColumnRenamed("id", "b")), [*keys, "b"], "left_semi")
     labels = connected_components(ids, links, keys)
     return labels.select(
         *keys, F.expr("CAST(shiftright(id, 32) AS INT)").alias("i"), F.expr("CAST(id & 4294967295 AS INT)").alias("j"), "label"
@@ -282,7 +283,7 @@ def drop_components(
     drawn = uniform(seed, *[F.col(k) for k in keys], F.col("label"))
     kept = labels.where(drawn < F.lit(float(keep))).withColumn("value", F.lit(1.0))
     mask = dilate(kept, keys, 3, height, width).select(*keys, "i", "j")
-    return cells.join(mask, [*keys, "i", "j"], "left_semi")
+    return cells.join(shuffled(mask), [*keys, "i", "j"], "left_semi")
 
 
 # ---------------------------------------------------------------- rotation and flips
@@ -351,7 +352,7 @@ def photometric(pixels: DataFrame, params: DataFrame, low: float = -1.0, high: f
         "value", (F.col("value") - F.col("_mean")) * F.col("contrast") + F.col("_mean")
     )
     peaks = contrasted.groupBy("image_id", "i", "j").agg(F.max("value").alias("_top"), F.min("value").alias("_low"))
-    joined = contrasted.join(peaks, ["image_id", "i", "j"])
+    joined = contrasted.join(shuffled(peaks), ["image_id", "i", "j"])
     strength = F.when(F.col("_top") > 0, (F.col("_top") - F.col("_low")) / F.nullif("_top", F.lit(0.0))).otherwise(0.0)
     factor = F.least(F.col("saturation"), 1.0 / F.nullif(strength, F.lit(0.0)))
     value = F.col("_top") - (F.col("_top") - F.col("value")) * F.coalesce(factor, F.lit(1.0))
@@ -363,7 +364,7 @@ def photometric(pixels: DataFrame, params: DataFrame, low: float = -1.0, high: f
 def apply_alpha(pixels: DataFrame, images: DataFrame, cities: list[str]) -> DataFrame:
     """Drop the fourth band; in the listed cities multiply the others by it first (bytes, half to even)."""
     alpha = pixels.where(F.col("band") == 3).select("image_id", "i", "j", F.col("value").alias("_alpha"))
-    colour = pixels.where(F.col("band") < 3).join(alpha, ["image_id", "i", "j"], "left")
+    colour = pixels.where(F.col("band") < 3).join(shuffled(alpha), ["image_id", "i", "j"], "left")
     named = colour.join(images.select("image_id", "city"), "image_id")
     masked = half_even(F.col("value") / 255.0 * (F.col("_alpha") / 255.0) * 255.0)
     use = F.col("city").isin(cities) & F.col("_alpha").isNotNull()
@@ -393,7 +394,7 @@ def mask_boundary(cells: DataFrame, keys: list[str], height: int | None = None,
         (F.col("i") + F.col("s.a")).alias("i1"), (F.col("j") + F.col("s.b")).alias("j1"),
         (F.col("i") + F.col("s.c")).alias("i2"), (F.col("j") + F.col("s.d")).alias("j2"),
     )
-    bare = asked.join(cells.select(*keys, "i", "j"), [*keys, "i", "j"], "left_anti")
+    bare = asked.join(shuffled(cells.select(*keys, "i", "j")), [*keys, "i", "j"], "left_anti")
     return bare.select(*keys, "i1", "j1", "i2", "j2")
 
 
@@ -416,13 +417,13 @@ def boundary_rings(cells: DataFrame, keys: list[str]) -> DataFrame:
     heading = F.when(F.col("uj") == 1, 0).when(F.col("ui") == 1, 1).when(F.col("uj") == -1, 2).otherwise(3)
     numbered = named.withColumn("id", F.col("tail") * 4 + heading).withColumn("heading", heading)
     nexts = numbered.select(*keys, F.col("tail").alias("head"), F.col("id").alias("next"), F.col("heading").alias("to"))
-    joined = numbered.join(nexts, [*keys, "head"])
+    joined = numbered.join(shuffled(nexts), [*keys, "head"])
     turn = F.pmod(F.col("to") - F.col("heading") + 3, F.lit(4))  # right turn 0, straight 3, left 2
     order = F.when(turn == 0, 0).when(turn == 3, 1).otherwise(2)
     followed = joined.groupBy(*keys, "id", "heading", "i1", "j1").agg(F.min_by(F.struct("next", "to"), order).alias("n"))
     links = followed.select(*keys, F.col("id").alias("a"), F.col("n.next").alias("b"))
     labels = connected_components(followed.select(*keys, "id"), links, keys)
-    rows = followed.join(labels, [*keys, "id"]).select(
+    rows = followed.join(shuffled(labels), [*keys, "id"]).select(
         *keys, "label", F.struct("id", F.col("n.next").alias("next"), "i1", "j1").alias("s")
     )
     outlines = rows.groupBy(*keys, "label").agg(F.collect_list("s").alias("s"))

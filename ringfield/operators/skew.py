@@ -12,6 +12,16 @@ MAX_SALTED_KEYS = 10_000
 HOT_ROWS = 500_000
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """Join this side by shuffle and merge.
+
+    Catalyst sizes a generator's output by its input. A side that was exploded
+    (patches of an image, cells of a polygon) looks small enough to broadcast
+    when it is not; AQE still splits skewed partitions of a merge join.
+    """
+    return df.hint("merge")
+
+
 def salt_table(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """Keys with more than `hot_rows` rows and the number of slices each needs."""
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
@@ -40,5 +50,5 @@ def skew_join(
     repeated = right.join(salts, on, "left").withColumn(
         "_salt", F.explode(F.sequence(F.lit(0), slices - 1))
     )
-    joined = spread.drop("_slices").join(repeated.drop("_slices"), [*on, "_salt"], how)
+    joined = spread.drop("_slices").join(shuffled(repeated.drop("_slices")), [*on, "_salt"], how)
     return joined.drop("_salt")

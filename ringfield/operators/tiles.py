@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ringfield.functions import rings
 from ringfield.operators.geometry import vertex_in_box
-from ringfield.operators.skew import HOT_ROWS, skew_join
+from ringfield.operators.skew import HOT_ROWS, shuffled, skew_join
 
 
 def axis_count(length: Column, stride: int, res: int) -> Column:
@@ -136,5 +136,5 @@ def keep_patches_with_vertices(
     condition = inside
     for equal in same:
         condition = condition & equal
-    hit = reach.join(points.alias("v"), condition, "left_semi").select(*keys, "patch_id").distinct()
-    return patches.join(hit, [*keys, "patch_id"], "left_semi")
+    hit = reach.join(shuffled(points).alias("v"), condition, "left_semi").select(*keys, "patch_id").distinct()
+    return patches.join(shuffled(hit), [*keys, "patch_id"], "left_semi")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringfield.operators.raster import cells_in_patches
+from ringfield.operators.skew import shuffled
 from ringfield.operators.tiles import patch_grid
 from ringfield.operators.windows import stitch_patches
 
@@ -73,7 +74,7 @@ def predict_patches(
     index = (F.col("channel") * input_res + F.col("pi")) * input_res + F.col("pj")
     packed = placed.select("image_id", "patch_id", F.struct(index.alias("at"), F.col("value").alias("v")).alias("c"))
     packed = packed.groupBy("image_id", "patch_id").agg(F.collect_list("c").alias("c"))
-    rows = packed.join(patches.select("image_id", "patch_id", "r0", "c0"), ["image_id", "patch_id"]).select(
+    rows = packed.join(shuffled(patches.select("image_id", "patch_id", "r0", "c0")), ["image_id", "patch_id"]).select(
         "image_id", "patch_id", "r0", "c0", F.transform("c", lambda c: c["at"]).alias("at"), F.transform("c", lambda c: c["v"]).alias("v")
     )
     channels = bands + len(LAYERS)

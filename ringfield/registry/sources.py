@@ -264,10 +264,11 @@ def newest_run(spark, sf):
 @register(
     "export_padded",
     with_views(
-        """SELECT image_id, patch_id, CAST(count(*) AS INT) AS polygons, CAST(max(n) AS INT) AS longest, CAST((count(*) + 1) * (max(n) + 1) AS BIGINT) AS slots, sum(n)::BIGINT AS filled,
-          sum(si - n * r0) AS i_sum, 2 AS maps, sum(si - n * r0 + n * 2) AS moved_sum
+        """SELECT image_id, patch_id, CAST(m.m AS INT) AS map_id, count(*) + 1 AS slots, CAST((count(*) + 1) * (max(n) + 1) AS BIGINT) AS places, sum(n)::BIGINT AS filled,
+          sum(si - n * r0 + n * 2 * greatest(m.m, 0)) AS i_sum
         FROM (SELECT DISTINCT v.image_id, v.poly_id, p.patch_id, p.r0 FROM vertices v JOIN patches p ON v.image_id = p.image_id AND v.i BETWEEN p.r0 AND p.r1 AND v.j BETWEEN p.c0 AND p.c1)
-        JOIN (SELECT image_id, poly_id, count(*) AS n, sum(i) AS si FROM vertices GROUP BY image_id, poly_id) USING (image_id, poly_id) GROUP BY image_id, patch_id""",
+        JOIN (SELECT image_id, poly_id, count(*) AS n, sum(i) AS si FROM vertices GROUP BY image_id, poly_id) USING (image_id, poly_id)
+        CROSS JOIN (VALUES (-1), (0), (1)) AS m(m) GROUP BY image_id, patch_id, m.m""",
         "vertices", "images", patches=PATCHES,
     ),
 )
@@ -278,11 +279,13 @@ def export_padded(spark, sf):
     maps = F.explode(F.array(F.lit(0), F.lit(1)))
     moved = p.withColumn("map_id", maps).withColumn("ring", rings.shift(F.col("ring"), F.col("map_id") * 2.0, F.lit(0.0)))
     out = Wr.export_padded(touching, moved)
-    total = "aggregate(filter(flatten({c}), p -> NOT isnan(p.i)), 0D, (t, p) -> t + p.i)"
-    return out.selectExpr(
-        *["image_id", "patch_id", "polygons", "longest"], "CAST(size(flatten(gt_polygons)) AS BIGINT) AS slots",
-        "CAST(size(filter(flatten(gt_polygons), p -> NOT isnan(p.i))) AS BIGINT) AS filled", total.format(c="gt_polygons") + " AS i_sum",
-        "size(disp_polygons) AS maps", total.format(c="disp_polygons[1]") + " AS moved_sum",
+    real = F.filter("ring", lambda p: ~F.isnan(p["i"]))
+    rows = out.select(
+        "image_id", "patch_id", "map_id", F.size("ring").alias("length"), F.size(real).alias("n"),
+        F.aggregate(real, F.lit(0.0), lambda t, p: t + p["i"]).alias("i"),
+    )
+    return rows.groupBy("image_id", "patch_id", "map_id").agg(
+        F.count("*").alias("slots"), F.sum("length").alias("places"), F.sum("n").alias("filled"), F.sum("i").alias("i_sum")
     )
 
 

@@ -433,8 +433,9 @@ def test_patch_tables(spark):
     assert kept == {(a, b) for a in (0, 100, 180) for b in (0, 100, 180) if a + 10 <= 160 and 150 < a + 210 and b + 10 <= 162 and 150 < b + 210}
     assert out["field"].count() == len(kept) * 220 * 220
     assert out["field"].select("di").distinct().collect()[0].di == 16384
-    batch = out["polygons"].where("patch_id = 0").first()
-    moved = [(p.i, p.j) for p in batch.disp_polygons[0][0]]
+    batch = Wr.pack_batches(out["polygons"].where("patch_id = 0 AND map_id = 0")).first().batch
+    assert len(batch) == 2 and all(math.isnan(p.i) for p in batch[1])
+    moved = [(p.i, p.j) for p in batch[0]]
     assert moved[:4] == [(148, 150), (148, 162), (158, 162), (158, 150)] and math.isnan(moved[4][0])
     fill = {r.patch_id: r.n for r in out["disp_cells"].where("layer = 'fill'").groupBy("patch_id").agg(F.count("*").alias("n")).collect()}
     assert fill[0] == 11 * 13
