@@ -25,15 +25,14 @@ def connected_components(
         pairs.select(*keys, F.col("b").alias("id"), F.col("a").alias("other"))
     )
     links = cut_lineage(both)
-    # The first round needs no join: the labels are the ids.
-    best = links.groupBy(*keys, "id").agg(F.min("other").alias("seen"))
-    first = nodes.select(*keys, "id").join(shuffled(best), [*keys, "id"], "left")
-    state = cut_lineage(first.select(*keys, "id", F.least("id", F.coalesce("seen", "id")).alias("label")))
+    # The first round needs no join, since the labels are the ids. Nodes without links never enter the loop.
+    first = links.groupBy(*keys, "id").agg(F.min("other").alias("seen"))
+    state = cut_lineage(first.select(*keys, "id", F.least("id", "seen").alias("label")))
     for _ in range(max_rounds):
         theirs = state.select(*keys, F.col("id").alias("other"), F.col("label").alias("seen"))
         best = links.join(shuffled(theirs), [*keys, "other"]).groupBy(*keys, "id").agg(F.min("seen").alias("seen"))
-        lowered = state.join(shuffled(best), [*keys, "id"], "left").select(
-            *keys, "id", F.col("label").alias("old"), F.least("label", F.coalesce("seen", "label")).alias("label")
+        lowered = state.join(shuffled(best), [*keys, "id"]).select(
+            *keys, "id", F.col("label").alias("old"), F.least("label", "seen").alias("label")
         )
         # Labels that moved on themselves; most are roots already and need no jump.
         ahead = state.where(F.col("id") != F.col("label")).select(
@@ -43,6 +42,8 @@ def connected_components(
         label = F.coalesce("further", "label")
         state = cut_lineage(jumped.select(*keys, "id", label.alias("label"), (label != F.col("old")).alias("moved")))
         if state.where("moved").isEmpty():
-            return state.select(*keys, "id", "label")
+            labels = shuffled(state.select(*keys, "id", "label"))
+            joined = nodes.select(*keys, "id").join(labels, [*keys, "id"], "left")
+            return joined.withColumn("label", F.coalesce("label", "id"))
         state = state.select(*keys, "id", "label")
     raise RuntimeError(f"labels still change after {max_rounds} rounds")
