@@ -188,8 +188,8 @@ def minmax_stretch(spark, sf):
 @register(
     "quantise_roundtrip",
     with_views(
-        """SELECT image_id, i, j, CAST(round_even(value * 32767, 0) AS SMALLINT) AS qi, round(round_even(value * 32767, 0) * 0.5 / 32767, 6) AS di,
-          round(round_even(value * 32767, 0) * 0.5 / 32767 / 0.5 * 4, 6) AS pixels FROM (SELECT image_id, i, j, greatest(least(value, 1.0), -1.0) AS value FROM cells)""",
+        """SELECT image_id, i, j, qi, round(qi * 0.5::DOUBLE / 32767, 6) AS di, round(qi * 0.5::DOUBLE / 32767 / 0.5 * 4, 6) AS pixels
+        FROM (SELECT image_id, i, j, CAST(round_even(greatest(least(value, 1.0), -1.0) * 32767, 0) AS SMALLINT) AS qi FROM cells)""",
         "cells",
     ),
 )
