@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm import decontaminate, quality
+from ringfield.llm import decontaminate, linededup, mixing, quality
 from ringfield.llm.text import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (quality.fold(F.col("doc_id"), 4) == 2).alias("held_out"), "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("op5_line_dedup")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = linededup.dedup(docs, spans_as="spans")
+    cut = F.transform("spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_removed"), F.array_join(cut, ",").alias("removed"), "text")
+
+
+@query("op6_mix_sources")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
