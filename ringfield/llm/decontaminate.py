@@ -162,14 +162,16 @@ def scan(
     at = docs.columns.index(text_col)
     for block in range(blocks):
         mine = pairs if blocks == 1 else pairs.where(F.pmod(F.xxhash64("words", "item"), F.lit(blocks)) == block)
-        held = spark.sparkContext.broadcast(WindowSet([(r[0], r[1]) for r in mine.collect()]))
+        held = spark.sparkContext.broadcast([(bytes(r[0]), r[1]) for r in mine.collect()])
         first = block == 0
 
-        def work(part: pa.RecordBatch, held=held, first=first) -> list[pa.Array]:
+        def work(part: pa.RecordBatch, held=held, first=first, built=[]) -> list[pa.Array]:  # noqa: B006
+            if not built:  # once for each task
+                built.append(WindowSet(held.value))
             words_of = [alnum_words(t) for t in part.column(at).to_pylist()]
             before = [None] * part.num_rows if first else part.column(part.num_columns - 1).to_pylist()
             out = []
-            for got, prior in zip(held.value.find(words_of), before, strict=True):
+            for got, prior in zip(built[0].find(words_of), before, strict=True):
                 ranges, names = got or ([], set())
                 if prior:
                     ranges = merged([*ranges, *((s["start"], s["end"]) for s in prior["spans"])])
