@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ringfield.llm import decontaminate, jaccard, licenses, linededup, mixing, quality, urls
+from ringfield.llm import ann, decontaminate, jaccard, licenses, linededup, mixing, quality, suffixtree, urls
 from ringfield.llm.text import LOWER, UPPER, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_url_filter")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op2_nearest")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op7_lm_score")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.fold(F.col("doc_id"), 7) == 2
+    found = suffixtree.score(docs, ~held_out)
+    return found.select(
+        "doc_id", (~F.col("in_training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
