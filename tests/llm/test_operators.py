@@ -1,0 +1,172 @@
+"""Brute-force checks of the training-data operators on small fixtures with nulls, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from ringfield.llm import ann, decontaminate, jaccard, licenses, linededup, mixing, pii, quality, suffixtree, urls
+
+DOCS = "doc_id long, text string, source string, n_words long, found string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "eps", "zeta", "eta", "theta"]
+    rows = [(0, None, None, 1, "x"), (1, "", "a", 1, "x"), (2, "one", "a", 1, "x"), (3, "one", "b", 1, "x"), (3, "one", "b", 1, "x")]
+    for i in range(4, 60):
+        text = " ".join(rng.choice(words) + str(rng.randrange(9)) for _ in range(rng.choice([1, 2, 40, 120])))
+        rows.append((i, text, rng.choice(["a", "b", "c", None]), 1, "x"))
+        if i % 3 == 0:
+            near = text.split()
+            near[rng.randrange(len(near))] = "changed"
+            rows.append((1000 + i, " ".join(near), "a", 1, "x"))
+    return spark.createDataFrame(rows, DOCS)
+
+
+def test_contamination_against_brute_force(spark, docs):
+    pick = [r.text for r in docs.collect() if r.text and len(r.text.split()) > 30][:3]
+    items = [("i1", " ".join(pick[0].split()[5:25])), ("i2", "one"), ("i3", None), ("i4", ""), ("i5", pick[1])]
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = []
+    for d in docs.collect():
+        w = re.findall(r"[0-9a-z]+", (d.text or "").lower())
+        hit, names = set(), set()
+        for name, t in items:
+            b = re.findall(r"[0-9a-z]+", (t or "").lower())
+            n = min(13, len(b))
+            grams = {tuple(b[i : i + n]) for i in range(len(b) - n + 1)} if n else set()
+            for i in range(len(w) - n + 1 if n else 0):
+                if tuple(w[i : i + n]) in grams:
+                    hit.update(range(i, i + n))
+                    names.add(name)
+        want.append((d.doc_id, len(w), len(hit), tuple(sorted(names))))
+    for block_bytes in (1 << 20, 64):
+        got = decontaminate.scan(docs, bench, block_bytes=block_bytes)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, tuple(r["items"])) for r in got.collect()) == sorted(want)
+
+
+def test_jaccard_against_brute_force(docs):
+    rows = docs.collect()
+    sets = {}
+    for r in rows:
+        w = (r.text or "").lower().split()
+        n = min(3, len(w))
+        sets[r.doc_id] = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+    label = {d: d for d in sets}
+    for _ in sets:
+        for a in sets:
+            for b in sets:
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 90 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    got = jaccard.components(docs).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((r.doc_id, len(sets[r.doc_id]), label[r.doc_id]) for r in rows)
+    assert any(label[d] != d for d in label)
+
+
+def test_bands_hold_linked_sizes():
+    for size in range(1, 3000):
+        band = jaccard.band_of(size)
+        assert jaccard.band_of(-(-size * 100 // 90) - 1 or 1) <= band + 1
+        assert band == 0 or jaccard.band_top(band - 1) < size <= jaccard.band_top(band)
+        other = int(size / 0.9)
+        top = max(band, jaccard.band_of(other))
+        assert top - band <= 1
+        assert jaccard.segments_of(top, 90, 100) > 10 * (size + other) // 190
+
+
+def test_mix(spark, docs):
+    got = mixing.mix(docs).collect()
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert sorted((r.doc_id, r.taken) for r in got) == sorted((r.doc_id, r.taken) for r in again)
+    assert len(got) == docs.count()
+    total = sum(r["size"] for r in got)
+    goal = {r.source: (r.source_size, r.target) for r in got}
+    assert sum(t for _, t in goal.values()) == pytest.approx(1.5 * total)
+    assert all(t <= 2 * s + 1e-9 for s, t in goal.values())
+    assert all(r.taken in (0, r["size"], 2 * r["size"]) for r in got)
+    for source, (_, target) in goal.items():
+        most = max(r["size"] for r in got if r.source == source)
+        assert abs(sum(r.taken for r in got if r.source == source) - target) <= 2 * most + 1
+    assert mixing.mix(docs.limit(0)).count() == 0
+
+
+def test_line_dedup(spark):
+    passage = ". ".join(" ".join(f"w{i}x{j}" for j in range(9)) for i in range(7)) + "."
+    rows = [(1, f"First line.\n{passage}\nEnd here."), (2, f"Other start.\n{passage}\nDone."), (3, "Clean text. Nothing else here."), (4, None), (5, "")]
+    out = {r.doc_id: r for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), spans_as="spans").collect()}
+    assert out[1].text == rows[0][1] and out[1].spans == []
+    assert passage.split()[3] not in out[2].text and out[2].text.startswith("Other start.") and out[2].text.endswith("Done.")
+    assert out[3].text == rows[2][1] and out[4].text is None and out[5].text == ""
+
+
+def test_search_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 8)).astype(np.float32)
+    rows = [(i, [float(v) for v in x[i % 250]]) for i in range(300)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (303, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = ann.search(table, F.col("vec_id") % 20 == 0).collect()
+    full = x[[i % 250 for i in range(300)]].astype(np.float64)
+    for q in range(0, 300, 20):
+        scores = (full * full[q]).sum(1)
+        order = [i for i in np.lexsort((np.arange(300), -scores)) if i != q][:20]
+        assert [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == order
+    assert len(got) == 300
+    assert ann.search(table.limit(0), F.lit(True)).count() == 0
+
+
+def test_licenses(spark):
+    rows = [(1, "Foo. CC BY and cc-by. Released under the MIT License."), (2, None), (3, "all rights reserved, All Rights Reserved"), (4, "the of a")]
+    out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (out[1].n_base, out[1].first_word, out[1].last_word, out[1].base_labels, out[1].labels) == (2, 1, 4, "cc-by", "cc-by,mit")
+    assert (out[3].n_base, out[3].labels, out[3].score) == (2, "reserved", 1.0)
+    assert (out[2].n_words, out[2].labels, out[2].first_word, out[4].score) == (0, "", None, 0.0)
+
+
+def test_urls(spark):
+    rows = [(1, "http://A.example.org/es/x?q"), (2, "https://example.org/en/12#f"), (3, "http://x.com/de/1"), (4, None), (5, "nothing"), (6, "http://xorg/"), (7, "http://x.org")]
+    pages = spark.createDataFrame([(*r, "<p>some words</p>") for r in rows], "page_id long, url string, html string")
+    out = {r.page_id: (r.host, r.path, r.rule) for r in urls.judge(pages).collect()}
+    assert out[1] == ("a.example.org", "/es/x", "example.org/es/")
+    assert out[2] == ("example.org", "/en/12", "example.org/en/1") and out[3] == ("x.com", "/de/1", "com/de/")
+    assert out[4] == out[5] == ("", "", None) and out[6] == ("xorg", "/", None) and out[7] == ("x.org", "", None)
+    assert urls.viterbi("freebets", [{"s": 1, "k": 4, "n": 9}, {"s": 5, "k": 4, "n": 9}], 20) == ["free", "bets"]
+
+
+def test_pii(spark):
+    assert pii.base_spans("a.b@c.de 1.2.3.4 256.1.1.1 x 4111 1111 1111 1111 +1 (555) 123-4567") == [
+        (0, 8, "email"), (9, 16, "ip"), (29, 48, "card"), (49, 66, "phone")]
+    assert pii.emails("x@@y.z.w@a.b") == [(3, 12)] and pii.emails("a@b") == []
+    rows = [(i, f"words card 4111111111111111 and {i}") for i in range(30)] + [(50, "my card 4111111111111112 x"), (51, None)]
+    out = {r.doc_id: r for r in pii.extract(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.start) for s in out[50].spans] == [("card", 8)] and out[50].base == [] and out[51].spans == []
+
+
+def test_suffix_tree(spark):
+    rows = [(i, "the cat sat on the mat " * 5) for i in range(6)] + [(9, None), (10, "the cat zzz")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in suffixtree.score(table, F.col("doc_id") < 6).collect()}
+    n, v = 6 * 31, 6
+    assert got[0].train_tokens == n and got[9].n_tokens == 1
+    assert got[10].n_known == 3 and got[10].n_tokens == 4
+    base = np.log10(61 / (n + v + 1)) + np.log10(31 / (n + v + 1)) + np.log10(1 / (n + v + 1)) + np.log10(7 / (n + v + 1))
+    assert got[10].base_score == pytest.approx(base)
+    assert got[0].score > got[0].base_score
+
+
+def test_quality(spark):
+    rows = [(i, "good plain words here " * 4 if i % 2 else "BAD!!! ### $$$ 99 " * 4, i % 2) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, y int")
+    weights = quality.train(table, "text", "y", "doc_id")
+    out = quality.score(table.unionByName(spark.createDataFrame([(99, None, None)], table.schema)), weights).collect()
+    assert all((r.score >= 0.7) == bool(r.y) for r in out if r.y is not None) and all(0 <= r.score <= 1 for r in out)
+
+
+def test_digest_is_of_the_listed_spans(spark):
+    row = pii.extract(spark.createDataFrame([(1, "x a@b.cd")], "doc_id long, text string")).select(F.sha2(pii.listed(F.col("base")), 256)).first()
+    assert row[0] == hashlib.sha256(b"email:2:8").hexdigest()
