@@ -10,13 +10,13 @@ from ringfield.session import cut_lineage
 
 
 def connected_components(
-    nodes: DataFrame, pairs: DataFrame, keys: list[str], max_rounds: int = 200
+    nodes: DataFrame, pairs: DataFrame, keys: list[str]
 ) -> DataFrame:
     """(keys, id, label): `label` is the smallest id reachable through `pairs(keys, a, b)`.
 
     Each round every node takes the smallest label in its neighbourhood, then
     jumps to the label of its label, so a chain of n nodes needs about log n
-    rounds. Only minima are aggregated, which combine before the shuffle; a
+    rounds. Labels only fall, so it ends whatever the graph. Only minima are aggregated, which combine before the shuffle; a
     node with many links or a label with many nodes makes a skewed join, whose
     output needs no partitioning, so AQE splits it. The state is checkpointed
     each round and the loop ends when nothing changes.
@@ -28,7 +28,7 @@ def connected_components(
     # The first round needs no join, since the labels are the ids. Nodes without links never enter the loop.
     first = links.groupBy(*keys, "id").agg(F.min("other").alias("seen"))
     state = cut_lineage(first.select(*keys, "id", F.least("id", "seen").alias("label")))
-    for _ in range(max_rounds):
+    while True:
         theirs = state.select(*keys, F.col("id").alias("other"), F.col("label").alias("seen"))
         best = links.join(shuffled(theirs), [*keys, "other"]).groupBy(*keys, "id").agg(F.min("seen").alias("seen"))
         lowered = state.join(shuffled(best), [*keys, "id"]).select(
@@ -46,4 +46,3 @@ def connected_components(
             joined = nodes.select(*keys, "id").join(labels, [*keys, "id"], "left")
             return joined.withColumn("label", F.coalesce("label", "id"))
         state = state.select(*keys, "id", "label")
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")

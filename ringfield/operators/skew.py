@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The salt table is broadcast, so it is held to this many of the hottest keys.
-# Salting only spreads work: a key left out is joined all the same, in one task
-# that AQE may still split.
-MAX_SALTED_KEYS = 10_000
+from ringfield.session import scratch_path
+
+#: Rows of one key that a task takes; a key of n rows is dealt into ceil(n / HOT_ROWS) slices.
 HOT_ROWS = 500_000
 
 
@@ -23,10 +22,15 @@ def shuffled(df: DataFrame) -> DataFrame:
 
 
 def salt_table(df: DataFrame, on: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with more than `hot_rows` rows and the number of slices each needs."""
+    """Every key that needs more than one slice and how many; written once, so that both sides read the same slices.
+
+    It has fewer than rows / `hot_rows` keys. Catalyst knows its size from the
+    files and broadcasts it or joins it by shuffle.
+    """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hottest = counts.orderBy(F.desc("_n")).limit(MAX_SALTED_KEYS)
-    return hottest.select(*on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_slices"))
+    path = scratch_path(df.sparkSession, "salts")
+    counts.select(*on, F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_slices")).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def skew_join(
@@ -42,7 +46,7 @@ def skew_join(
     The right rows of those keys alone are repeated, once per slice. `how` may
     be any type that keeps left rows (inner, left, left_semi, left_anti).
     """
-    salts = F.broadcast(salt_table(left, on, hot_rows))
+    salts = salt_table(left, on, hot_rows)
     slices = F.coalesce(F.col("_slices"), F.lit(1))
     spread = left.join(salts, on, "left").withColumn(
         "_salt", F.pmod(F.xxhash64(*row_id), slices).cast("int")

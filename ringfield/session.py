@@ -32,10 +32,12 @@ def local_session(cores: int = 8, app: str = "ringfield", **conf: str) -> SparkS
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a test folder where it is unset."""
+    """The folder every executor can reach: `spark.checkpoint.dir`, or a test folder where it is unset in local mode."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured is None:
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="ringfield-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)

@@ -106,7 +106,7 @@ def test_chunks_of_four_with_padding(spark):
 def test_numbering_with_a_hot_group(spark):
     df = spark.range(3000).select(F.col("id") * 7 % 3001, F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(0).alias("g"))
     df = df.toDF("v", "g")
-    rows = N.number_rows(df, "v", ["g"], blocks=16).collect()
+    rows = N.number_rows(df, "v", ["g"]).collect()
     seen = {}
     for r in sorted(rows, key=lambda r: (r.g, r.v)):
         assert r.rn == seen.get(r.g, 0)
