@@ -105,6 +105,33 @@ def test_line_dedup(spark):
     assert out[3].text == rows[2][1] and out[4].text is None and out[5].text == ""
 
 
+def test_passages_are_found_wherever_they_stand(spark):
+    rng = random.Random(3)
+
+    def some(n):
+        return [f"{rng.choice('abcdefgh')}{rng.randrange(10**6)}" for _ in range(n)]
+
+    rows, want = [], {}
+    for case in range(40):
+        passage = some(rng.choice([50, 60, 90]))
+        kind = case % 4
+        gaps = ["\n" if kind == 1 and i % 3 == 2 else ". " if kind == 2 and i % 9 == 8 else " " for i in range(len(passage) - 1)]
+        body = "".join(w + g for w, g in zip(passage, [*gaps, ""], strict=True))
+        for copy in range(3):
+            head, tail = " ".join(some(rng.randrange(80))), " ".join(some(rng.randrange(80)))
+            text = f"{head} {body} {tail}".strip() if kind != 3 else f"{head}\n{body}\n{tail}".strip()
+            at = text.index(body)
+            rows.append((3 * case + copy, text))
+            want[3 * case + copy] = [(at, at + len(body))] if copy else []
+    wide = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(80))
+    rows += [(900, f"x{wide}y"), (901, f"zz{wide}z"), (902, "p " * 30 + "q")]
+    want |= {900: [], 901: [(2, 82)]}
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = {r.doc_id: r for r in linededup.dedup(table, spans_as="spans").collect()}
+    assert {i: [(s.start, s.end) for s in out[i].spans] for i in want} == want
+    assert out[902].text.split() == ["p"] * (len(out[902].text.split()) - 1) + ["q"]
+
+
 def test_search_against_brute_force(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 8)).astype(np.float32)
