@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringfield.llm.text import added, rows_of, space_words, stored
+from ringfield.llm.text import added, fresh, rows_of, space_words, stored
 from ringfield.operators.components import connected_components
 
 N = 3
@@ -204,3 +204,15 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = components(docs, id_col, text_col, **options)
     gone = found.where("component_id < doc_id").select(F.col("doc_id").alias("gone_")).distinct()
     return docs.join(gone, docs[id_col] == gone["gone_"], "left_anti")
+
+
+def one_row_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """`docs` with one row of each group: the first by id, null ids last. Rows of one id or without id count on their own."""
+    row, known = fresh(docs, "row_"), F.struct(F.col("id").isNull().alias("none"), "id", "th", "doc_id")
+    numbered = stored(docs.withColumn(row[0], F.monotonically_increasing_id()), "numbered-docs")
+    found = components(numbered, row[0], text_col, **options).where("n_shingles > 0")
+    ids = numbered.select(F.col(row[0]).alias("doc_id"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("th"))
+    placed = stored(found.join(ids, "doc_id").select("component_id", known.alias("place")), "placed-rows")
+    first = stored(placed.groupBy("component_id").agg(F.min("place").alias("first")).select("component_id", F.col("first.doc_id").alias("first")), "first-rows")
+    gone = placed.join(first, "component_id").where("place.doc_id != first").select(F.col("place.doc_id").alias("gone_"))
+    return numbered.join(gone, numbered[row[0]] == gone["gone_"], "left_anti").drop(row[0])

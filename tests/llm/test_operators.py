@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -69,6 +70,45 @@ def test_jaccard_against_brute_force(docs):
     assert any(label[d] != d for d in label)
 
 
+def test_near_copies_stage_against_brute_force(spark):
+    rng = random.Random(11)
+    rows = [(None, None), (7, ""), (None, "a b"), (None, "a b"), (8, "c d"), (8, "c d")]
+    for i in range(12):
+        base = [f"v{rng.randrange(400)}" for _ in range(rng.choice([30, 120, 300]))]
+        rows.append((20 + i, " ".join(base)))
+        for changes in (1, 2, 4, 6, 9):
+            near = list(base)
+            for at in rng.sample(range(len(near)), changes):
+                near[at] = f"changed{rng.randrange(10**6)}"
+            rows.append((rng.choice([None, 20 + i, 100 + i, rng.randrange(10**6)]), " ".join(near)))
+    base = [f"u{k}" for k in range(300)]
+    rows.append((1, " ".join(base)))
+    rows.append((2, " ".join("x" + w if k % 50 == 25 else w for k, w in enumerate(base))))
+    sets = []
+    for _, text in rows:
+        w = (text or "").split()
+        n = min(5, len(w))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set())
+    label = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 80 * len(sets[a] | sets[b]):
+                label = [label[b] if x == label[a] else x for x in label]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = corpus_pipeline.drop_near_copies(spark, table, "").collect()
+    groups = {}
+    for i, (ident, text) in enumerate(rows):
+        groups.setdefault(label[i] if sets[i] else -1 - i, []).append((ident is None, ident, text))
+    assert len(got) == len(groups) < len(rows)
+    left = {(r.doc_id, r.text) for r in got}
+    for members in groups.values():
+        smallest = min((x[:2] for x in members), key=lambda x: (x[0], x[1] or 0))
+        assert sum((ident, text) in left for _, ident, text in set(members)) == 1
+        assert any((ident, text) in left for none, ident, text in members if (none, ident) == smallest)
+    assert (1, rows[-2][1]) in left and (2, rows[-1][1]) not in left
+
+
 def test_bands_hold_linked_sizes():
     for size in range(1, 3000):
         band = jaccard.band_of(size)
