@@ -214,6 +214,32 @@ def test_pii(spark):
     assert [(s.kind, s.start) for s in out[50].spans] == [("card", 8)] and out[50].base == [] and out[51].spans == []
 
 
+def test_pii_finds_unseen_forms_of_each_kind(spark):
+    seeds = {"mail": "jo{}@site.org", "address": "10.0.{}.7", "phone": "+1 555 {:03d} 4567", "card": "4111 1111 1111 1111"}
+    rows = [(100 * k + i, f"w{i} {word}: {form.format(i)} seen{i} there") for k, (word, form) in enumerate(seeds.items()) for i in range(30)]
+    unseen = {
+        "email": ["jane_doe[at]example.com", "jane at example dot com", "jane (at) example (dot) com", "jane@example[.]com"],
+        "ip": ["10[.]0[.]0[.]5", "10 dot 0 dot 0 dot 5", "fe80::12:3:4"],
+        "phone": ["555 123 4567", "(555) 123-4567", "(555)123-4567", "01 23 45 67 89", "5551234567"],
+        "card": ["4111 1111 1111 1112", "4111-1111-1111-1112", "4111111111111112"],
+    }
+    want, at = {}, 1000
+    for (word, _), (kind, forms) in zip(seeds.items(), unseen.items(), strict=True):
+        for form in forms:
+            rows.append((at, f"q{at} {word}: {form}, then 8 more"))
+            want[at] = [(kind, form)]
+            at += 1
+    # Patterns of several words, and of the words behind; the word next to the place is not enough here.
+    rows += [(2000 + i, f"n{i} reach me on +1 555 {i:03d} 9999 b{i}") for i in range(30)] + [(2100 + i, f"n{i} goes on 77{i:03d}00 b{i}") for i in range(90)]
+    rows += [(2300 + i, f"n{i} +1 555 {i:03d} 8888 (mobile) b{i}") for i in range(30)]
+    rows += [(3000, "so reach me on 555 777 1234 soon"), (3001, "x9 555 777 4321 (mobile) z"), (3002, "it goes on 7712300 long")]
+    want |= {3000: [("phone", "555 777 1234")], 3001: [("phone", "555 777 4321")], 3002: []}
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans] for r in pii.extract(table).collect()}
+    assert {i: got[i] for i in want} == want
+
+
 def test_suffix_tree(spark):
     rows = [(i, "the cat sat on the mat " * 5) for i in range(6)] + [(9, None), (10, "the cat zzz")]
     table = spark.createDataFrame(rows, "doc_id long, text string")
