@@ -138,7 +138,7 @@ def search(table: DataFrame, queries, id_col: str = "vec_id", vector_col: str =
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, ids, vectors, where = None, [], [], []
-        grid = names = cells = None
+        grid = names = cells = longest = None
         for part in rows_of(batches):
             made: list[tuple[int, int, float]] = []
             for i, b, kind, e, v, js in zip(*(part.column(n).to_pylist() for n in range(6)), strict=True):
@@ -153,12 +153,14 @@ def search(table: DataFrame, queries, id_col: str = "vec_id", vector_col: str =
                     continue
                 if grid is None:
                     grid, names, cells = np.array(vectors), np.array(ids), np.array(where)
+                    longest = np.linalg.norm(grid, axis=1).max()
                 at = np.flatnonzero(np.isin(cells, js))
                 q = decoded(v)
                 rough = grid[at] @ q
-                if len(at) > 2 * k + 2:
-                    # Twice as many as asked, so that rounding cannot lose one; exact sums decide.
-                    at = at[np.argpartition(-rough, 2 * k + 1)[: 2 * k + 2]]
+                if len(at) > k + 1:
+                    # All that rounding may have put behind the last one asked for, ties included; exact sums decide.
+                    margin = 4 * len(q) * np.finfo(float).eps * longest * np.linalg.norm(q)
+                    at = at[~(rough < -np.partition(-rough, k)[k] - margin)]
                 exact = (grid[at] * q).sum(1)
                 order = np.lexsort((names[at], -exact))[: k + 1]
                 made += [(e, int(names[at[o]]), float(exact[o])) for o in order]

@@ -187,6 +187,26 @@ def test_search_against_brute_force(spark):
     assert ann.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_orders_many_ties_by_id(spark):
+    # Every vector has the score 1 with the query, vector 0.
+    ids = np.random.default_rng(4).permutation(511) + 1
+    rows = [(0, [1.0] + [0.0] * 9)] + [(int(v), [1.0, *(float(b) for b in f"{i + 1:09b}")]) for i, v in enumerate(ids)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect()
+    assert [(r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(i, 1.0) for i in range(1, 21)]
+
+
+def test_search_recall_above_the_least_table(spark):
+    x = np.random.default_rng(6).normal(size=(2 * ann.LEAST + 1000, 8)).astype(np.float32)
+    table = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = ann.search(table, F.col("vec_id") < 20).collect()
+    full = x.astype(np.float64)
+    hits = 0
+    for q in range(20):
+        order = [i for i in np.argsort(-(full @ full[q])) if i != q][:20]
+        hits += len(set(order) & {r.vec_id for r in got if r.query_id == q})
+    assert len(got) == 400 and hits >= 360
+
+
 def test_licenses(spark):
     rows = [(1, "Foo. CC BY and cc-by. Released under the MIT License."), (2, None), (3, "all rights reserved, All Rights Reserved"), (4, "the of a")]
     out = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
