@@ -10,10 +10,10 @@ before the shuffle. Counts come back the same way: totals of identity pairs and
 vectors of vocabulary length, which are broadcast; of the irregular pairs those with more than 1/`HOT` of all links are
 fewer than `HOT` and are broadcast too, so no key of the join of the others holds more than that share of the links.
 
-Both tokenizers are run on the words of a text, each distinct word of a slice once. A single space between two characters
-that are no white space begins a new token in both: in A because its pattern takes the space together with what follows, in
-B because no piece goes on with a space after another character. Tokenizers for which that does not hold (checked when they
-are loaded) are given whole texts.
+Both tokenizers are run on the words of a text, each distinct word of a task once. A single space
+or line feed between two characters that are no white space begins a new token in both: in A because its pattern takes a
+space together with what follows and a line feed alone, in B because no piece goes on with a space after another character
+or holds a line feed. Tokenizers for which that does not hold (checked when they are loaded) are given whole texts.
 
 Cases: texts that are null or empty, or that either tokenizer does not give back byte for byte, have no tokens: zeros and an
 empty string. Repeated rows and ids stay rows of their own. An empty table gives an empty result. Very long texts are cut
@@ -44,7 +44,9 @@ B_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 HOT = 1 << 16
 #: Words a task remembers, and the longest one remembered.
 WORDS, LONGEST = 200_000, 200
-SPACE = re.compile(r"(?<=\S) (?=\S)")
+# The published pattern of byte-level BPE, a fixed value.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+WORD = re.compile(r"(?<=\S)(?=[ \n]\S)")
 RESULT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
@@ -78,19 +80,35 @@ class Tokenizers:
         first: dict[bytes, int] = {}
         for i in sorted(plain, key=lambda i: (self.b.is_byte(i), i)):
             first.setdefault(self.b_bytes[i], i)
-        self.identity = np.array([first.get(t, -1) for t in self.a_bytes], np.int64)
+        self.identity = [first.get(t, -1) for t in self.a_bytes]
+        # How a group of one token each reads, by its id of A.
+        self.said = [f"{t}|{same}" for t, same in enumerate(self.identity)]
         rules = json.loads(self.a.to_str())
         form = rules["pre_tokenizer"] or {}
+        plain_bytes = rules["normalizer"] is None and form.get("type") == "ByteLevel" and form.get("use_regex") is True
         self.by_words = (
-            rules["normalizer"] is None and form.get("type") == "ByteLevel" and form.get("use_regex") is True
-            and not form.get("add_prefix_space") and self.b.normalize(" a  b\tÅ ﬁ ") == "▁▁a▁▁b\tÅ▁ﬁ▁"
-            and not any("▁" in p.lstrip("▁") for p in pieces)
+            plain_bytes and not form.get("add_prefix_space") and self.b.normalize(" a  b\tÅ ﬁ ") == "▁▁a▁▁b\tÅ▁ﬁ▁"
+            and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
         )
+        # Where the merges stand in the order of their ids, ranks say the same, and short words are encoded faster by them.
+        added = {t["id"] for t in rules["added_tokens"]}
+        ranks = {t: i for i, t in enumerate(self.a_bytes) if i not in added}
+        merges = [m if isinstance(m, list) else m.split(" ") for m in rules["model"]["merges"]]
+        made = [rules["model"]["vocab"][m[0] + m[1]] for m in merges]
+        self.ranked = None
+        if plain_bytes and self.by_words and made == sorted(set(made)) and set(range(256)).isdisjoint(made):
+            import tiktoken
+
+            self.ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both for ` ` + word."""
-        one = [e.ids for e in self.a.encode_batch([" " + w for w in words], add_special_tokens=False)]
-        return list(zip(one, self.b.encode(words, num_threads=1), strict=True))
+        """Ids of both. B puts a space before what it is given: it stands for the one a word begins with, else it goes."""
+        if self.ranked is not None:
+            one = [self.ranked.encode_ordinary(w) for w in words]
+        else:
+            one = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
+        two = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        return [(a, b if w[0] == " " else b[1:]) for w, a, b in zip(words, one, two, strict=True)]
 
 
 def cut(one: list[int], two: list[int], a_bytes: list[bytes], b_bytes: list[bytes]) -> Iterator[tuple[list[int], list[int]]]:
@@ -111,16 +129,19 @@ def cut(one: list[int], two: list[int], a_bytes: list[bytes], b_bytes: list[byte
 def aligned(words: list[str], both: Tokenizers) -> list[tuple | None]:
     """For each word: groups as text, numbers of tokens and groups, ids of A in identity groups, keys of the other links."""
     out: list[tuple | None] = []
-    size = len(both.b_bytes)
+    size, identity = len(both.b_bytes), both.identity
     for word, (one, two) in zip(words, both.encode(words), strict=True):
-        target = b" " + word.encode("utf-8", "surrogatepass")
+        if [identity[t] for t in one] == two:
+            out.append((";".join([both.said[t] for t in one]), len(one), len(one), len(one), one, ()))
+            continue
+        target = word.encode("utf-8", "surrogatepass")
         if b"".join(both.a_bytes[t] for t in one) != target or b"".join(both.b_bytes[t] for t in two) != target:
             out.append(None)
             continue
         said, same, other = [], [], []
         for mine, theirs in cut(one, two, both.a_bytes, both.b_bytes):
             said.append(",".join(map(str, mine)) + "|" + ",".join(map(str, theirs)))
-            if len(mine) == len(theirs) == 1 and both.identity[mine[0]] == theirs[0]:
+            if len(mine) == len(theirs) == 1 and identity[mine[0]] == theirs[0]:
                 same.append(mine[0])
             else:
                 other.append(mine[-1] * size + theirs[-1])
@@ -148,21 +169,21 @@ def read_groups(docs: DataFrame, text_col: str, a_path: str, b_path: str, digest
             both = both or Tokenizers(a_path, b_path)
             if len(known) > WORDS:
                 known = {}
-            texts = [SPACE.split(t) if t and both.by_words else [t] if t else [] for t in part.column(len(kept)).to_pylist()]
+            whole = [" " + t if t else "" for t in part.column(len(kept)).to_pylist()]
+            texts = [WORD.split(t) if t and both.by_words else [t] if t else [] for t in whole]
             new = list(set(chain.from_iterable(texts)) - known.keys())
-            here = dict(zip(new, aligned(new, both), strict=True))
-            known.update((w, r) for w, r in here.items() if len(w) <= LONGEST)
+            known.update(zip(new, aligned(new, both), strict=True))
             rows = []
             for words in texts:
-                found = [known[w] if w in known else here[w] for w in words]
-                if None in found:
-                    found = []
-                tokens = np.fromiter(chain.from_iterable(r[4] for r in found), np.int64)
-                links = np.fromiter(chain.from_iterable(r[5] for r in found), np.int64)
-                numbers = [sum(r[n] for r in found) for n in (1, 2, 3)]
-                said = ";".join(r[0] for r in found)
-                counted = [*np.unique(tokens, return_counts=True), *np.unique(links, return_counts=True)]
-                rows.append((*numbers, hashed(said) if digest else said, *counted))
+                found = list(map(known.__getitem__, words))
+                groups, n_a, n_b, n, tokens, links = zip(*found) if found and None not in found else [()] * 6
+                said = ";".join(groups)
+                counted = [np.unique(np.fromiter(chain.from_iterable(x), np.int64), return_counts=True) for x in (tokens, links)]
+                rows.append((sum(n_a), sum(n_b), sum(n), hashed(said) if digest else said, *counted[0], *counted[1]))
+            # Long words are unlikely to come again.
+            for word in new:
+                if len(word) > LONGEST:
+                    del known[word]
             columns = [pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], [*kept, *made])
 
@@ -181,7 +202,7 @@ def count_pairs(read: DataFrame, names: list[str], a_path: str, b_path: str) ->
             np.add.at(counts, part.column(0).flatten().to_numpy(), part.column(1).flatten().to_numpy())
         if counts is not None:
             at = np.flatnonzero(counts)
-            columns = [pa.array(at), pa.array(both.identity[at]), pa.array(counts[at]), pa.array(np.ones(len(at), bool))]
+            columns = [pa.array(at), pa.array(np.array(both.identity)[at]), pa.array(counts[at]), pa.array(np.ones(len(at), bool))]
             yield pa.RecordBatch.from_arrays(columns, ["a", "b", "n", "same"])
 
     shape = "a bigint, b bigint, n bigint, same boolean"
@@ -224,7 +245,7 @@ def align(
     is_hot = F.col("n") > F.lit(links / HOT)
     hot = sorted((r[0] * size + r[1], r[2]) for r in pairs.where(~F.col("same") & is_hot).select("a", "b", "n").collect())
     hot_keys, hot_counts = np.array([h[0] for h in hot], np.int64), np.array([h[1] for h in hot], np.int64)
-    top = highest[both.identity] == totals
+    top = highest[np.array(both.identity)] == totals
     held = spark.sparkContext.broadcast((totals, top, hot_keys, hot_counts, highest))
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -121,7 +121,7 @@ def test_hard_negatives_of_odd_tables(spark):
 TEXTS = [
     None, "", " ", "  ", "a", " a", "a ", "a  b", "one two three", "one two three", "tab\there and\n\nlines \n  x", "x\t   y", "x\t  ",
     "naïve café £5 — “quoted” 漢字かな 한국어 مرحبا 🙂🙂🏽", "it's they'll 1234567 3.14", "<|endoftext|> <s> </s> <0x41> <unk>",
-    "a ▁ piece", "é    wide　x \x1c \x85y", "antidisestablishmentarianism " * 30, "ab" * 3000, "\x00 \x01 a",
+    "a ▁ piece", "x\ny\n\nz\n", "\nfirst\nsecond", "a\n b", "é    wide　x \x1c \x85y", "antidisestablishmentarianism " * 30, "ab" * 3000, "\x00 \x01 a",
 ]
 
 
@@ -135,7 +135,7 @@ def test_alignment_against_whole_texts(spark):
     for n, text in enumerate(texts):
         groups = []
         if text:
-            one, two = both.encode([text])[0]
+            one, two = both.encode([" " + text])[0]
             target = (" " + text).encode()
             if b"".join(both.a_bytes[t] for t in one) == target == b"".join(both.b_bytes[t] for t in two):
                 ends = [{0}, {0}]
