@@ -10,12 +10,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringfield.functions import rings
 from ringfield.functions.numeric import half_even, uniform, vector_angle
+from ringfield.operators.skew import shuffled
 
 # ---------------------------------------------------------------- shape changes
 
@@ -289,62 +292,131 @@ def shorten_edges(edge_rows: DataFrame, cut1: float, cut2: float, min_length: fl
 # ---------------------------------------------------------------- simplification
 
 
-def _kept(i: np.ndarray, j: np.ndarray, tolerance: float) -> np.ndarray:
-    """Positions kept by Douglas-Peucker with distances to the chord segment."""
-    keep = np.zeros(len(i), dtype=bool)
-    if len(i) == 0:
-        return np.flatnonzero(keep)
-    keep[[0, -1]] = True
-    todo = [(0, len(i) - 1)]
-    while todo:
-        a, b = todo.pop()
-        if b - a < 2:
-            continue
-        chord = np.array([i[b] - i[a], j[b] - j[a]])
-        span = float(chord @ chord)
-        pi, pj = i[a + 1 : b] - i[a], j[a + 1 : b] - j[a]
-        along = np.clip((pi * chord[0] + pj * chord[1]) / span, 0.0, 1.0) if span > 0 else np.zeros(len(pi))
-        gap = np.hypot(pi - along * chord[0], pj - along * chord[1])
-        far = int(np.argmax(gap))
-        if gap[far] > tolerance:
-            middle = a + 1 + far
-            keep[middle] = True
-            todo += [(a, middle), (middle, b)]
-    return np.flatnonzero(keep)
-
-
-def _kept_positions(pick) -> Column:
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def positions(rows: pd.Series, cols: pd.Series) -> pd.Series:
-        return pd.Series([pick(np.asarray(i), np.asarray(j)).tolist() for i, j in zip(rows, cols)])
+def _within(lengths: np.ndarray) -> np.ndarray:
+    """0..n-1 for each length n, one after the other."""
+    starts = np.cumsum(lengths) - lengths
+    return np.arange(int(lengths.sum())) - np.repeat(starts, lengths)
+
+
+def _importance(i: np.ndarray, j: np.ndarray, offsets: np.ndarray, stop: float = -1.0) -> np.ndarray:
+    """Up to which tolerance Douglas-Peucker keeps each vertex of many rings, given one after the other (the ends: always).
+
+    The vertex farthest from the chord segment splits it, whatever the tolerance, so a vertex stays as long as its own
+    distance and those of the splits above it exceed the tolerance. All chords of all rings are split at once, level by
+    level; chords whose farthest vertex is not beyond `stop` are left, as nothing inside can stay.
+    """
+    found = np.zeros(len(i))
+    filled = offsets[1:] > offsets[:-1]
+    a, b = offsets[:-1][filled], offsets[1:][filled] - 1
+    found[a] = found[b] = np.inf
+    above = np.full(len(a), np.inf)
+    while True:
+        wide = b - a >= 2
+        a, b, above = a[wide], b[wide], above[wide]
+        if not len(a):
+            return found
+        inner = b - a - 1
+        at = np.repeat(a + 1, inner) + _within(inner)
+        ci, cj = np.repeat(i[b] - i[a], inner), np.repeat(j[b] - j[a], inner)
+        pi, pj = i[at] - np.repeat(i[a], inner), j[at] - np.repeat(j[a], inner)
+        span = ci * ci + cj * cj
+        along = np.clip(np.divide(pi * ci + pj * cj, span, out=np.zeros(len(at)), where=span > 0), 0.0, 1.0)
+        gap = np.hypot(pi - along * ci, pj - along * cj)
+        starts = np.cumsum(inner) - inner
+        most = np.maximum.reduceat(gap, starts)
+        far = np.minimum.reduceat(np.where(gap == np.repeat(most, inner), at, len(i)), starts)
+        # Coordinates that are no numbers have no farthest vertex.
+        goes = (most > stop) & (far < len(i))
+        a, b, far, above = a[goes], b[goes], far[goes], np.minimum(above, most)[goes]
+        found[far] = above
+        a, b, above = np.concatenate([a, far]), np.concatenate([far, b]), np.concatenate([above, above])
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, missing: pa.Array) -> pa.Array:
+    """Lists of the given lengths; null where `missing` is."""
+    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.array(values), mask=missing.is_null() if missing.null_count else None)
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of a list column and the offsets of its rows; rows that are null are empty."""
+    lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
+
+
+def _positions(pick, ring: Column) -> Column:
+    """`pick(i, j, offsets)` marks the vertices that stay; their positions in the ring."""
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def positions(rows: pa.Array, cols: pa.Array) -> pa.Array:
+        i, offsets = _flat(rows)
+        j, _ = _flat(cols)
+        stays = pick(i, j, offsets)
+        lengths = np.diff(offsets)
+        counts = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[stays], minlength=len(lengths))
+        return _lists(_within(lengths)[stays].astype(np.int32), counts, rows)
 
-    ring = F.col("ring")
     return positions(F.transform(ring, lambda p: p["i"]), F.transform(ring, lambda p: p["j"]))
 
 
+def kept_positions(polygons: DataFrame, tolerance: float = 1.0, name: str = "kept") -> DataFrame:
+    """Adds the positions of the vertices that Douglas-Peucker keeps; the first and last vertex always stay."""
+
+    def pick(i: np.ndarray, j: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        return _importance(i, j, offsets, tolerance) > tolerance
+
+    if tolerance <= 0:
+        return polygons.withColumn(name, F.transform("ring", lambda p, k: k))
+    return settled(polygons).withColumn(name, _positions(pick, F.col("ring")))
+
+
+def at_positions(polygons: DataFrame, name: str = "kept") -> DataFrame:
+    """Rings reduced to the vertices at the positions of a column, which is dropped."""
+    ring = F.transform(name, lambda k: F.get(F.col("ring"), k))
+    return settled(polygons.withColumn("ring", ring).drop(name))
+
+
+def shells(polygons: DataFrame) -> DataFrame:
+    """Rings without holes that hold a vertex."""
+    return drop_holes(polygons).where(F.size("ring") > 0)
+
+
+def at_truth_positions(copies: DataFrame, kept: DataFrame, name: str = "kept") -> DataFrame:
+    """Copies of rings (displaced, of another version or map) reduced to the vertices their truth keeps.
+
+    `kept` has a row for each truth ring, see `kept_positions`; copies without a truth are left out.
+    """
+    keys = [c for c in ("image_id", "poly_id", "part") if c in copies.columns and c in kept.columns]
+    return at_positions(drop_holes(copies).join(shuffled(kept.select(*keys, name)), keys), name)
+
+
 def simplify(polygons: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """Douglas-Peucker on each ring; the first and last vertex always stay."""
     if tolerance <= 0:
         return polygons
-    kept = settled(polygons).withColumn("_kept", _kept_positions(lambda i, j: _kept(i, j, tolerance)))
-    ring = F.transform("_kept", lambda k: F.get(F.col("ring"), k))
-    return settled(kept.withColumn("ring", ring).drop("_kept"))
+    return at_positions(kept_positions(polygons, tolerance, "_kept"), "_kept")
 
 
 def simplify_to_count(polygons: DataFrame, count: int, step: float = 0.1) -> DataFrame:
-    """Raise the tolerance until a closed ring has at most `count` distinct vertices, then open it."""
-
-    def pick(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        kept, tries = np.arange(len(i)), 0
-        limit = math.hypot(float(np.ptp(i)), float(np.ptp(j))) if len(i) else 0.0
-        while len(kept) > count + 1 and tries * step <= limit:
-            tries += 1
-            kept = _kept(i, j, tries * step)
-        return kept[:-1]
-
-    kept = settled(polygons).withColumn("_kept", _kept_positions(pick))
-    ring = F.transform("_kept", lambda k: F.get(F.col("ring"), k))
-    return settled(kept.withColumn("ring", ring).drop("_kept"))
+    """Raise the tolerance by steps until a closed ring has at most `count` distinct vertices, then open it."""
+
+    def pick(i: np.ndarray, j: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        found, lengths = _importance(i, j, offsets), np.diff(offsets)
+        ring = np.repeat(np.arange(len(lengths)), lengths)
+        # The first vertex to go decides the tolerance: the largest importance beyond the `count` + 1 that may stay.
+        order = np.lexsort((-found, ring))
+        last = offsets[:-1] + count + 1
+        over = lengths > count + 1
+        limit = np.zeros(len(lengths))
+        limit[over] = np.minimum(found[order[last[over]]], 1e300)
+        tries = np.maximum(np.floor(limit / step) - 1, 1)
+        for _ in range(3):  # within rounding of the quotient
+            tries = np.where(tries * step < limit, tries + 1, tries)
+        stays = ~over[ring] | (found > (tries * step)[ring])
+        stays[(offsets[1:] - 1)[lengths > 0]] = False
+        return stays
+
+    return at_positions(settled(polygons).withColumn("_kept", _positions(pick, F.col("ring"))), "_kept")
 
 
 def drop_spikes(faces: DataFrame) -> DataFrame:
@@ -353,30 +425,40 @@ def drop_spikes(faces: DataFrame) -> DataFrame:
     `faces.face` holds vertex ids of an open ring in order.
     """
 
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def smooth(face: pd.Series) -> pd.Series:
-        return pd.Series([_without_spikes(list(ids)) for ids in face])
+    @F.arrow_udf(T.ArrayType(T.LongType()))
+    def smooth(face: pa.Array) -> pa.Array:
+        ids, offsets = _flat(face)
+        ids, lengths = _without_spikes(ids.astype(np.int64), np.diff(offsets))
+        return _lists(ids, lengths, face)
 
     return faces.withColumn("face", smooth(F.col("face")))
 
 
-def _without_spikes(ids: list[int]) -> list[int]:
-    changed = True
-    while changed and ids:
-        size = len(ids)
-        spikes = [ids[n - 1] == ids[(n + 1) % size] for n in range(size)]
-        dropped: set[int] = set()
-        for n in range(size):
-            if spikes[n] and n not in dropped:
-                dropped |= {n, n + 1}
-        changed = bool(dropped)
-        ids = [v for n, v in enumerate(ids) if n not in dropped]
-    return ids
+def _without_spikes(ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All rings at once, round by round."""
+    while len(ids):
+        ends = np.cumsum(lengths)
+        ring = np.repeat(np.arange(len(lengths)), lengths)
+        place, size = _within(lengths), lengths[ring]
+        start = np.arange(len(ids)) - place
+        before, after = ids[start + (place - 1) % size], ids[start + (place + 1) % size]
+        spike = before == after
+        if not spike.any():
+            break
+        # In a run of spikes every other one goes, with its successor; runs do not reach over the end of a ring.
+        opens = spike & ((place == 0) | ~np.concatenate([[False], spike[:-1]]))
+        since = np.arange(len(ids)) - np.maximum.accumulate(np.where(opens, np.arange(len(ids)), 0))
+        goes = spike & (since % 2 == 0)
+        follows = np.concatenate([[False], goes[:-1]]) & (place > 0)
+        stays = ~(goes | follows)
+        ids = ids[stays]
+        lengths = np.add.reduceat(np.append(stays, False).astype(np.int64), ends - lengths) * (lengths > 0)
+    return ids, lengths
 
 
 def clean_polygons(polygons: DataFrame, images: DataFrame | None = None, tolerance: float = 1.0) -> DataFrame:
     """Drop holes, then simplify; with `images`, those left without polygons appear with a null ring."""
-    cleaned = simplify(drop_holes(polygons).where(F.size("ring") > 0), tolerance)
+    cleaned = simplify(shells(polygons), tolerance)
     if images is None:
         return cleaned
     return images.select("image_id").join(cleaned, "image_id", "left")

@@ -26,15 +26,41 @@ TINY = 1e-7
 # ---------------------------------------------------------------- vertex distance
 
 
+def _identity(gt: DataFrame, pred: DataFrame, *more: str) -> list[str]:
+    """What names a ring: image, polygon and, where both tables have it, the part."""
+    part = ["part"] if "part" in gt.columns and "part" in pred.columns else []
+    return ["image_id", "poly_id", *part, *more]
+
+
 def match_vertices(gt: DataFrame, pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Vertices of two tables met by identity (image, polygon, k), never by row position."""
-    keys = keys or ["image_id", "poly_id", "k"]
+    """Vertices of two tables met by identity (image, polygon, part, k), never by row position."""
+    keys = keys or _identity(gt, pred, "k")
     extra = [c for c in ("source", "map_id") if c in pred.columns and c not in keys]
     truth = gt.select(*keys, F.col("i").alias("gi"), F.col("j").alias("gj"))
     moved = pred.select(*keys, *extra, F.col("i").alias("pi"), F.col("j").alias("pj"))
     return truth.join(shuffled(moved), keys)
 
 
+def without_closing(vertices: DataFrame, keys: list[str], eps: float = 1e-3) -> DataFrame:
+    """Vertex rows without the last vertex of rings whose last vertex repeats the first (L1 distance below eps).
+
+    Rings that end at a NaN separator end before it.
+    """
+    numbers = ~F.isnan("i") & ~F.isnan("j")
+    point = F.struct("i", "j")
+    stop = F.min(F.when(~numbers, F.col("k"))).alias("stop")
+    plain = vertices.join(shuffled(vertices.groupBy(*keys).agg(stop)), keys).where(F.coalesce(F.col("k") < F.col("stop"), F.lit(True))).drop("stop")
+    ends = plain.groupBy(*keys).agg(F.min_by(point, "k").alias("f"), F.max_by(point, "k").alias("l"), F.max("k").alias("k"), F.min("k").alias("k0"))
+    gap = F.abs(F.col("f.i") - F.col("l.i")) + F.abs(F.col("f.j") - F.col("l.j"))
+    closing = ends.where((gap < eps) & (F.col("k") > F.col("k0"))).select(*keys, "k")
+    return plain.join(shuffled(closing), [*keys, "k"], "left_anti")
+
+
+def truth_rings(gt: DataFrame, eps: float = 1e-3) -> DataFrame:
+    """Rings as the truth is measured: up to a NaN separator, without a repeated closing vertex."""
+    return settled(settled(gt.withColumn("ring", rings.cut_at_nan(F.col("ring")))).withColumn("ring", rings.strip_closing(F.col("ring"), eps)))
+
+
 def _distances(ring: Column, other: Column) -> Column:
     count = F.least(F.size(ring), F.size(other))
     pairs = F.zip_with(F.slice(ring, F.lit(1), count), F.slice(other, F.lit(1), count), rings.distance)
@@ -48,7 +74,7 @@ def matched_rings(gt: DataFrame, pred: DataFrame, keys: list[str] | None = None,
     distance below eps) is left out of both. Vertex distances need one join per
     polygon this way, not one per vertex.
     """
-    keys = keys or ["image_id", "poly_id"]
+    keys = keys or _identity(gt, pred)
     extra = [c for c in ("source", "map_id") if c in pred.columns and c not in keys]
     truth = settled(gt.select(*keys, rings.cut_at_nan(F.col("ring")).alias("g")), "g")
     if eps is not None:
@@ -116,13 +142,20 @@ def threshold_accuracy(
 
 
 def vertex_accuracy(
-    gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = ALIGN_THRESHOLDS, by: list[str] | None = None
+    gt: DataFrame, pred: DataFrame, thresholds: Sequence[float] = ALIGN_THRESHOLDS, by: list[str] | None = None,
+    stripped: bool = False,
 ) -> DataFrame:
-    """Accuracy curves from vertex tables (the form pipelines on fields produce)."""
+    """Accuracy curves from vertex tables (the form pipelines on fields produce).
+
+    As with rings, a repeated closing vertex of the truth and what follows a NaN separator are left out of both sides.
+    `stripped` says that `gt` comes without them (from `truth_rings`), which saves the look at the ends of each ring.
+    """
+    if not stripped:
+        gt = without_closing(gt, [c for c in ("image_id", "poly_id", "part") if c in gt.columns])
     matched = match_vertices(gt, pred)
     by = by or [c for c in ("source", "image_id", "map_id") if c in matched.columns]
     di, dj = F.col("gi") - F.col("pi"), F.col("gj") - F.col("pj")
-    distances = matched.select(*by, F.sqrt(di * di + dj * dj).alias("d"))
+    distances = matched.select(*by, F.sqrt(di * di + dj * dj).alias("d")).where(~F.isnan("d"))
     return accuracy_curve(distances, by, thresholds)
 
 

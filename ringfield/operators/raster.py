@@ -4,15 +4,15 @@ from __future__ import annotations
 
 import math
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringfield.functions import rings
 from ringfield.functions.numeric import half_even, uniform
-from ringfield.operators.components import connected_components
+from ringfield.operators.components import connected_components, cycle_order
 from ringfield.operators.geometry import settled
 from ringfield.operators.skew import shuffled
+from ringfield.session import cut_lineage
 
 # ---------------------------------------------------------------- drawing
 
@@ -403,8 +403,8 @@ def boundary_rings(cells: DataFrame, keys: list[str]) -> DataFrame:
 
     Every directed side points to the side it continues with (at a pinched
     corner the one turning right, so that 4-connected parts stay apart). Sides
-    of one outline are found as connected components and each outline, one
-    record of the result, is walked in its own group.
+    find their outline and their place in it by pointer doubling; only the
+    corners of an outline, which are its record in the result, are gathered.
     """
     sides = mask_boundary(cells, keys)
     packed = "shiftleft(CAST({i} AS BIGINT), 32) + {j}"
@@ -420,38 +420,13 @@ def boundary_rings(cells: DataFrame, keys: list[str]) -> DataFrame:
     joined = numbered.join(shuffled(nexts), [*keys, "head"])
     turn = F.pmod(F.col("to") - F.col("heading") + 3, F.lit(4))  # right turn 0, straight 3, left 2
     order = F.when(turn == 0, 0).when(turn == 3, 1).otherwise(2)
-    followed = joined.groupBy(*keys, "id", "heading", "i1", "j1").agg(F.min_by(F.struct("next", "to"), order).alias("n"))
-    links = followed.select(*keys, F.col("id").alias("a"), F.col("n.next").alias("b"))
-    labels = connected_components(followed.select(*keys, "id"), links, keys)
-    rows = followed.join(shuffled(labels), [*keys, "id"]).select(
-        *keys, "label", F.struct("id", F.col("n.next").alias("next"), "i1", "j1").alias("s")
-    )
-    outlines = rows.groupBy(*keys, "label").agg(F.collect_list("s").alias("s"))
-
-    @F.pandas_udf("array<int>")
-    def walk(ids: pd.Series, nexts: pd.Series) -> pd.Series:
-        orders = []
-        for own, then in zip(ids, nexts):
-            at = {side: n for n, side in enumerate(own)}
-            first = min(own)
-            order, side = [], first
-            while True:
-                order.append(at[side])
-                side = then[at[side]]
-                if side == first:
-                    break
-            orders.append(order)
-        return pd.Series(orders)
-
-    walked = outlines.withColumn("order", walk(F.col("s.id"), F.col("s.next")))
-    full = F.transform("order", lambda n: rings.point(F.get("s", n)["i1"].cast("double"), F.get("s", n)["j1"].cast("double")))
-    drawn = settled(walked.select(*keys, F.col("label").alias("start"), full.alias("ring")))
-    ring = F.col("ring")
-
-    def bends(p: Column, k: Column) -> Column:
-        size = F.size(ring)
-        before, after = F.get(ring, (k + size - 1) % size), rings.following(ring, k)
-        return (p["i"] - before["i"] != after["i"] - p["i"]) | (p["j"] - before["j"] != after["j"] - p["j"])
-
-    corners = settled(drawn.withColumn("ring", F.filter("ring", bends)))
-    return corners.withColumn("outer", ~rings.is_clockwise(F.col("ring")))
+    followed = joined.groupBy(*keys, "id", "heading", "i2", "j2").agg(F.min_by(F.struct("next", "to"), order).alias("n"))
+    followed = cut_lineage(followed.select(*keys, "id", "i2", "j2", (F.col("heading") != F.col("n.to")).alias("bends"), F.col("n.next").alias("next")))
+    placed = cycle_order(followed, keys)
+    # A side gives the point it ends in, which is where the next side starts: the outline's first side is reached with one step left.
+    corners = followed.where("bends").select(*keys, "id", "i2", "j2").join(shuffled(placed), [*keys, "id"])
+    point = rings.point(F.col("i2").cast("double"), F.col("j2").cast("double"))
+    turn_by = F.struct((F.col("ahead") != 1).alias("late"), (F.col("ahead") != 0).alias("later"), (-F.col("ahead")).alias("at"), point.alias("p"))
+    gathered = corners.groupBy(*keys, F.col("label").alias("start")).agg(F.sort_array(F.collect_list(turn_by)).alias("o"))
+    drawn = settled(gathered.select(*keys, "start", F.transform("o", lambda o: o["p"]).alias("ring")))
+    return drawn.withColumn("outer", ~rings.is_clockwise(F.col("ring")))

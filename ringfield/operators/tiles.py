@@ -1,7 +1,7 @@
 """Patch grids and the joins between polygons and patches.
 
-Range conditions become equality on tile buckets (`floor(coordinate / size)`),
-so Spark shuffles by bucket and never compares a polygon with every patch.
+Range conditions become equality on nodes of an adaptive tile index (`quadtree`),
+so Spark shuffles by node and never compares a polygon with every patch.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ringfield.functions import rings
 from ringfield.operators.geometry import vertex_in_box
-from ringfield.operators.skew import HOT_ROWS, shuffled, skew_join
+from ringfield.operators.quadtree import Things, box_tiles, bucket, home, near_join, ring_tiles
+from ringfield.operators.skew import HOT_ROWS, shuffled
 
 
 def axis_count(length: Column, stride: int, res: int) -> Column:
@@ -47,10 +48,6 @@ def rotated_patch_size(stride: int, res: int) -> tuple[int, int]:
     return math.floor(stride * math.sqrt(2) / 2), math.ceil(res * math.sqrt(2))
 
 
-def bucket(value: Column, size: float) -> Column:
-    return F.floor(value / F.lit(float(size))).cast("int")
-
-
 def explode_buckets(boxes: DataFrame, size: float) -> DataFrame:
     """One row per tile bucket (bi, bj) that the box r0, c0, r1, c1 reaches."""
     rows = F.sequence(bucket(F.col("r0"), size), bucket(F.col("r1"), size))
@@ -58,31 +55,37 @@ def explode_buckets(boxes: DataFrame, size: float) -> DataFrame:
     return boxes.withColumn("bi", F.explode(rows)).withColumn("bj", F.explode(cols))
 
 
+def _patch_things(patches: DataFrame) -> Things:
+    extent = F.greatest(F.col("r1") - F.col("r0"), F.col("c1") - F.col("c0")).cast("double")
+    return Things(patches, box_tiles("r0", "c0", "r1", "c1"), extent, ["patch_id"])
+
+
 def polygons_touching_patches(
-    polygons: DataFrame, patches: DataFrame, size: float = 128, hot_rows: int = HOT_ROWS
+    polygons: DataFrame, patches: DataFrame, size: float = 256, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Every (polygon, patch) where at least one vertex lies in the patch, bounds included.
 
-    A polygon is sent once to each bucket that holds one of its vertices; a pair
-    found through several buckets is reported by the smallest of them only, so
-    no `distinct` follows. The ring comes back relative to the patch.
+    A polygon is sent once to each tile that holds one of its vertices. A pair is
+    reported in the one node with the first vertex that lies in the patch, so no
+    `distinct` follows. The ring comes back relative to the patch.
     """
-
-    def at(p: Column) -> Column:
-        return F.struct(bucket(p["i"], size).alias("bi"), bucket(p["j"], size).alias("bj"))
-
-    sent = polygons.withColumn("b", F.explode(F.array_distinct(F.transform("ring", at))))
-    sent = sent.select("*", "b.bi", "b.bj").drop("b")
-    reach = explode_buckets(patches, size)
+    other = [c for c in patches.columns if c not in ("image_id", "r0", "c0", "r1", "c1")]
+    b = rings.box(F.col("ring"))
+    sent = polygons.withColumn("b", b)
 
     def inside(p: Column) -> Column:
         return vertex_in_box(p["i"], p["j"], F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"))
 
-    pairs = skew_join(sent, reach, ["image_id", "bi", "bj"], ["poly_id"], hot_rows=hot_rows)
-    first = F.array_min(F.transform(F.filter("ring", inside), at))
-    kept = pairs.where(first == F.struct("bi", "bj"))
+    near = (F.col("b.r1") >= F.col("r0")) & (F.col("b.r0") <= F.col("r1"))
+    near = near & (F.col("b.c1") >= F.col("c0")) & (F.col("b.c0") <= F.col("c1"))
+    first = F.get(F.filter("ring", inside), F.lit(0))
+    # No vertex in the patch: null, which is no match.
+    condition = near & home(size, first["i"], first["j"])
+    points = Things(sent, ring_tiles("ring"), F.lit(0.0), ["poly_id"])
+    kept = near_join(points, _patch_things(patches), ["image_id"], condition, size=size, most=hot_rows)
     moved = rings.shift(F.col("ring"), -F.col("r0"), -F.col("c0"))
-    return kept.withColumn("ring", moved).drop("bi", "bj")
+    columns = [*polygons.columns, *other, "r0", "c0", "r1", "c1"]
+    return kept.withColumn("ring", moved).select(*columns)
 
 
 def polygons_within_box(polygons: DataFrame, r0, c0, r1, c1) -> DataFrame:
@@ -91,19 +94,23 @@ def polygons_within_box(polygons: DataFrame, r0, c0, r1, c1) -> DataFrame:
 
 
 def polygons_within_patches(
-    polygons: DataFrame, patches: DataFrame, size: float = 128, hot_rows: int = HOT_ROWS
+    polygons: DataFrame, patches: DataFrame, size: float = 256, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Every (polygon, patch) where the whole ring lies in the patch.
 
-    The bucket of the first vertex is enough: a patch that holds the ring reaches it.
+    The tile of the first vertex is enough: a patch that holds the ring reaches it.
     """
     first = F.get("ring", F.lit(0))
-    sent = polygons.withColumns({"bi": bucket(first["i"], size), "bj": bucket(first["j"], size)})
-    reach = explode_buckets(patches, size)
-    pairs = skew_join(sent, reach, ["image_id", "bi", "bj"], ["poly_id"], hot_rows=hot_rows)
+
+    def start(side: float) -> Column:
+        return F.array(F.struct(bucket(first["i"], side).alias("bi"), bucket(first["j"], side).alias("bj")))
+
     box = (F.col("r0"), F.col("c0"), F.col("r1"), F.col("c1"))
-    kept = pairs.where(F.forall("ring", lambda p: vertex_in_box(p["i"], p["j"], *box)))
-    return kept.drop("bi", "bj")
+    # The first vertex goes first, as it needs no loop.
+    condition = vertex_in_box(first["i"], first["j"], *box) & F.forall("ring", lambda p: vertex_in_box(p["i"], p["j"], *box))
+    points = Things(polygons, start, F.lit(0.0), ["poly_id"])
+    kept = near_join(points, _patch_things(patches), ["image_id"], condition, size=size, most=hot_rows)
+    return kept.drop("lv", "bi", "bj")
 
 
 def inner_patches(patches: DataFrame, inner_res: int) -> DataFrame:

@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from ringfield.functions.numeric import half_even
 from ringfield.operators.fields import apply_field
-from ringfield.operators.geometry import clean_polygons, collect_rings, explode_ring, level_factor
+from ringfield.operators.geometry import (
+    at_truth_positions,
+    clean_polygons,
+    collect_rings,
+    explode_ring,
+    kept_positions,
+    level_factor,
+    shells,
+)
 from ringfield.operators.metrics import channel_stretch, coverage_check
 from ringfield.operators.raster import rasterize
 from ringfield.plans.predict import INPUT_RES, OUTPUT_RES, ModelFn, predict_patches
@@ -108,13 +116,23 @@ def predict_and_align(
 
 def align_round(
     spark: SparkSession, path: str, source: str, next_source: str, images: DataFrame, fields: dict[int, DataFrame],
-    levels: Sequence[int] = LEVELS, tolerance: float = 1.0, **settings,
+    levels: Sequence[int] = LEVELS, tolerance: float = 1.0, truth: str | None = None, **settings,
 ) -> DataFrame | None:
-    """Clean and align one stored polygon version and store it as the next; None when it does not exist."""
+    """Clean and align one stored polygon version and store it as the next; None when it does not exist.
+
+    Holes go and rings are simplified at `tolerance`. With `truth`, another stored version, its rings decide which vertices
+    stay, so that rounds can be measured against it by vertex number; otherwise each ring decides for itself.
+    """
     rows = load_round(spark, path, source)
     if rows is None:
         return None
-    cleaned = clean_polygons(rows, tolerance=tolerance)
+    if truth is None:
+        cleaned = clean_polygons(rows, tolerance=tolerance)
+    else:
+        known = load_round(spark, path, truth)
+        if known is None:
+            raise ValueError(f"{path} holds no version {truth}")
+        cleaned = at_truth_positions(rows, kept_positions(shells(known), tolerance))
     keys = [c for c in cleaned.columns if c not in ("ring", "source")]
     aligned = multires_align(explode_ring(cleaned.drop("source")), images, fields, levels, **settings)
     save_round(collect_rings(aligned, *keys), path, next_source)

@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringfield.operators.fields import displace_polygons
-from ringfield.operators.geometry import clean_polygons, explode_ring
+from ringfield.operators.geometry import at_positions, at_truth_positions, explode_ring, kept_positions, shells
 from ringfield.operators.metrics import (
     ALIGN_THRESHOLDS,
     IOU_THRESHOLDS,
     curve_bands,
     curve_summary,
     mask_iou_curve,
+    truth_rings,
     vertex_accuracy,
 )
 from ringfield.operators.raster import rasterize
@@ -26,10 +27,9 @@ def make_test_displacements(
     polygons: DataFrame, field: DataFrame, height, width, max_abs: float = 32.0, thresholds: Sequence[float] = ALIGN_THRESHOLDS
 ) -> tuple[DataFrame, DataFrame]:
     """(displaced vertices, baseline accuracy at whole thresholds) for fields normalised to [-1, 1]."""
-    vertices = explode_ring(polygons)
-    displaced = displace_polygons(vertices, field, height, width, max_abs)
+    displaced = displace_polygons(explode_ring(polygons), field, height, width, max_abs)
     whole = [t for t in thresholds if t == int(t)]
-    return displaced, vertex_accuracy(vertices, displaced, whole)
+    return displaced, vertex_accuracy(explode_ring(truth_rings(polygons)), displaced, whole, stripped=True)
 
 
 def evaluate_alignment(
@@ -41,17 +41,21 @@ def evaluate_alignment(
 
     The copies come as rings (`displaced`), or are made from `disp_field`, one
     per map. Without either, `gt` itself is aligned and measured against its
-    start, which is the case without a separate truth.
+    start, which is the case without a separate truth. Holes go and rings are
+    simplified; the truth decides which vertices stay, and every copy keeps
+    those, so that vertices are still met by their number.
     """
-    truth = explode_ring(clean_polygons(gt, tolerance=tolerance))
+    kept = kept_positions(shells(gt), tolerance)
+    whole = at_positions(kept)
+    truth = explode_ring(truth_rings(whole))
     if displaced is not None:
-        start = explode_ring(clean_polygons(displaced, tolerance=tolerance))
+        start = explode_ring(at_truth_positions(displaced, kept))
     elif disp_field is not None and disp_shape is not None:
-        start = displace_polygons(truth, disp_field, *disp_shape, max_abs)
+        start = displace_polygons(explode_ring(whole), disp_field, *disp_shape, max_abs)
     else:
-        start = truth
+        start = explode_ring(whole)
     aligned = multires_align(start, images, fields, levels, **settings)
-    curves = vertex_accuracy(truth, aligned, thresholds)
+    curves = vertex_accuracy(truth, aligned, thresholds, stripped=True)
     bands = curve_bands(curves)
     return curves, bands, curve_summary(bands)
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ringfield.functions import rings
+from ringfield.functions import arrays, rings
 from ringfield.functions.numeric import uniform
+from ringfield.operators import dense
 from ringfield.operators.fields import displace_polygons, quantise_field, rotate_vectors
 from ringfield.operators.geometry import collect_rings, explode_ring, level_factor
 from ringfield.operators.raster import (
@@ -87,6 +91,143 @@ def build_patches(
     return tables
 
 
+LAYERS = ("fill", "edge", "vertex")
+#: Number types of a stored record: image bytes, polygon maps, coded fields.
+KINDS = {"image": "u1", "gt_polygon_map": "u1", "disp_polygon_maps": "u1", "disp_field_maps": "<i2"}
+
+
+def patch_records(
+    pixel_tiles: DataFrame, images: DataFrame, polygons: DataFrame, fields: dict[int, DataFrame], levels: Sequence[int],
+    map_count: int, reference: float = 0.3, stride: int = 100, res: int = 220, max_abs: float = 4.0, rotate: bool = True,
+    line_width: int = 3, bands: int = 3, side: int = dense.SIDE,
+) -> DataFrame:
+    """One record a patch, over all images and levels, with everything a training example holds.
+
+    (image_id, ds_fac, patch_id, fold, r0, c0, tile_res, disp_map_count, image, gt_polygon_map, disp_field_maps, disp_polygon_maps): the last
+    four are numbers of the types in `KINDS`, laid out res x res x channels, the maps one after the other.
+
+    `pixel_tiles(image_id, ti, tj, data)` are tiles of bytes with all bands, `fields[level]` is normalised to
+    [-1, 1] and keyed by (image_id, map_id, i, j), map_id from 0 to map_count - 1. Images are scaled down tile by tile.
+    Patches without a vertex in their inner square go before anything is cut; what the others need of a tile travels to
+    them, and each patch is gathered once. Rings come simplified.
+    """
+    step, size = rotated_patch_size(stride, res) if rotate else (stride, res)
+    plane = F.array_position(F.array(*[F.lit(x) for x in LAYERS]), F.col("layer")) - 1
+    whole: DataFrame | None = None
+    for ds_fac in levels:
+        sized, scaled = level_tables(images, polygons, ds_fac, reference)
+        limits = ("height", "width")
+        gt_cells = rasterize(scaled.select("image_id", *limits, "ring"), F.col("height"), F.col("width"), line_width=line_width).drop(*limits)
+        field = fields[ds_fac].join(sized.select("image_id", *limits), "image_id")
+        vertices = explode_ring(scaled.select("image_id", "poly_id", *limits, "ring"))
+        displaced = collect_rings(displace_polygons(vertices, field, *limits, max_abs), "image_id", "poly_id", "map_id", *limits)
+        disp_cells = rasterize(displaced, F.col("height"), F.col("width"), line_width=line_width).drop(*limits)
+        vertex_cells = gt_cells.where(F.col("layer") == "vertex").withColumn("ds_fac", F.lit(ds_fac))
+        kept = keep_patches_with_vertices(patch_grid(sized, step, size), vertex_cells, 2 * step)
+        shapes = images.select("image_id", F.col("height").alias("from_h"), F.col("width").alias("from_w")).join(sized.select("image_id", *limits), "image_id")
+        coded = quantise_field(field.drop(*limits))
+        channels = F.explode(F.array(*[F.struct(F.lit(n).alias("plane"), F.col(c).alias("value")) for n, c in enumerate(("di", "dj"))]))
+        coded = coded.select("image_id", "map_id", "i", "j", channels.alias("c")).select("image_id", "map_id", "i", "j", "c.*")
+        tables = {
+            "image": (dense.resample_tiles(pixel_tiles, shapes, ["image_id"], bands, "u1", side), bands),
+            "gt_polygon_map": (dense.pack_cells(gt_cells, ["image_id"], plane, 3, "u1", side), 3),
+            "disp_polygon_maps": (dense.pack_cells(disp_cells, ["image_id", "map_id"], plane, 3, "u1", side), 3),
+            "disp_field_maps": (dense.pack_cells(coded, ["image_id", "map_id"], F.col("plane"), 2, "<i2", side), 2),
+        }
+        for name, (tiles, planes) in tables.items():
+            maps = F.col("map_id").cast("int") if "map_id" in tiles.columns else F.lit(0)
+            carried = tuple(c for c in ("fold", "r0", "c0") if c in kept.columns)
+            keys = [c for c in ("image_id", "map_id") if c in tiles.columns]
+            pieces = dense.patch_pieces(tiles, kept.withColumn("ds_fac", F.lit(ds_fac)), keys, planes, KINDS[name], side, carried)
+            owner = ["image_id", "patch_id", *carried]
+            part = F.struct(maps.alias("map_id"), "i0", "j0", "rows", "piece")
+            pieces = pieces.select(*owner, F.lit(ds_fac).alias("ds_fac"), F.lit(name).alias("name"), part.alias("p"))
+            whole = pieces if whole is None else whole.unionByName(pieces)
+    owner = [c for c in whole.columns if c not in ("name", "p")]
+    counts = {"image": (bands, 1), "gt_polygon_map": (3, 1), "disp_polygon_maps": (3, map_count), "disp_field_maps": (2, map_count)}
+    lists = [F.collect_list(F.when(F.col("name") == name, F.col("p"))).alias(name) for name in counts]
+    gathered = whole.groupBy(*owner).agg(*lists)
+    data = [dense.assembled(F.col(n), planes, size, size, KINDS[n], maps).alias(n) for n, (planes, maps) in counts.items()]
+    return gathered.select(*owner, F.lit(size).alias("tile_res"), F.lit(map_count).alias("disp_map_count"), *data)
+
+
+def example_params(records: DataFrame, seed: int, keys: Sequence[str] = ("image_id", "ds_fac", "patch_id")) -> DataFrame:
+    """Adds one row's random choices, drawn from its ids: the map, turn, flip, brightness, contrast and saturation."""
+    ids = [F.col(k) for k in keys]
+
+    def draw(n: int) -> Column:
+        return uniform(seed * 7919 + n, *ids)
+
+    return records.withColumns(
+        {
+            "map_id": F.floor(draw(0) * F.col("disp_map_count")).cast("int"), "turn": draw(1) * 2 * F.pi(), "flip": draw(2) >= 0.5,
+            "brightness": draw(3) * 0.5 - 0.25, "contrast": draw(4) * 0.4 + 0.8, "saturation": draw(5) * 0.4 + 0.8,
+        }
+    )
+
+
+def augment_records(
+    records: DataFrame, out: int = 220, out_field: int = 100, keep: float | None = 0.1, seed: int = 0, dynamic_range: float = 0.5,
+    bands: int = 3, kind: str = "<f4",
+) -> DataFrame:
+    """Stored records as training examples: image, truth map, displaced map and field moved together.
+
+    `records` carries the choices of `example_params` (or the caller's own). The chosen map is taken, numbers are
+    scaled (image and maps to [0, 1], the field to its dynamic range), parts of the displaced map dropped (`keep`: the share
+    that stays, None: all), colours changed, everything turned about the centre, cut to `out` (the field to `out_field`), the image
+    shifted to [-1, 1], and rows flipped. Examples without a truth vertex in the inner square are left out. A record is
+    read once and needs nothing but itself, so no step shuffles.
+
+    The result has the ids and `image`, `gt_polygon_map`, `disp_polygon_map` (out x out x channels) and `disp_field_map`, of type `kind`.
+    """
+    owner = [c for c in ("image_id", "ds_fac", "patch_id", "fold") if c in records.columns]
+    choices = ["map_id", "turn", "flip", "brightness", "contrast", "saturation"]
+    source = ["image", "gt_polygon_map", "disp_polygon_maps", "disp_field_maps"]
+    made = ["image", "gt_polygon_map", "disp_polygon_map", "disp_field_map"]
+    wide, narrow = math.ceil(out * math.sqrt(2)), math.ceil(out_field * math.sqrt(2))
+    margin = (out - out_field) // 2
+
+    def one(row: dict) -> list[np.ndarray] | None:
+        res, n, turn = row["tile_res"], row["disp_map_count"], row["turn"]
+        at = row["map_id"]
+        image = np.frombuffer(row["image"], "u1").reshape(res, res, bands) / 255.0
+        truth = np.frombuffer(row["gt_polygon_map"], "u1").reshape(res, res, 3) / 255.0
+        moved = np.frombuffer(row["disp_polygon_maps"], "u1").reshape(n, res, res, 3)[at] / 255.0
+        field = np.frombuffer(row["disp_field_maps"], "<i2").reshape(n, res, res, 2)[at] * dynamic_range / 32767.0
+        if keep is not None:
+            ids = [int(row[c]) for c in owner if c != "fold"]
+            moved = arrays.without_parts(moved, keep, np.random.default_rng([seed, *(i & 0xFFFFFFFF for i in ids)]))
+        image = arrays.recoloured(image, row["brightness"], row["contrast"], row["saturation"])
+        image, truth, moved = (arrays.centred(x, wide) for x in (image, truth, moved))
+        image = arrays.turned(image, turn)
+        truth, moved = (np.dstack([arrays.turned(x[..., :2], turn), arrays.turned(x[..., 2:], turn, nearest=True)]) for x in (truth, moved))
+        field = arrays.turned(arrays.centred(field, narrow), turn)
+        cos, sin = math.cos(-turn), math.sin(-turn)
+        field = np.dstack([field[..., 0] * cos + field[..., 1] * sin, field[..., 1] * cos - field[..., 0] * sin])
+        image, truth, moved = (arrays.centred(x, out) for x in (image, truth, moved))
+        field = arrays.centred(field, out_field)
+        image = np.clip(image * 2 - 1, -1.0, 1.0)
+        if row["flip"]:
+            image, truth, moved, field = (x[::-1] for x in (image, truth, moved, field))
+            field = field * np.array([-1.0, 1.0])
+        if not truth[margin : margin + out_field, margin : margin + out_field, 2].any():
+            return None
+        return [image, truth, moved, field]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 16):
+                part = batch.slice(start, 16)
+                found = [(n, one(row)) for n, row in enumerate(part.to_pylist())]
+                found = [(n, x) for n, x in found if x is not None]
+                ids = [part.column(n).take(pa.array([f[0] for f in found], pa.int32())) for n in range(len(owner))]
+                data = [pa.array([np.ascontiguousarray(x[m], dtype=kind).tobytes() for _, x in found], pa.binary()) for m in range(len(made))]
+                yield pa.RecordBatch.from_arrays([*ids, *data], [*owner, *made])
+
+    shape = ", ".join([f"{c} {records.schema[c].dataType.simpleString()}" for c in owner] + [f"{c} binary" for c in made])
+    return records.select(*owner, "tile_res", "disp_map_count", *choices, *source).mapInArrow(run, shape)
+
+
 def write_patches(tables: dict[str, DataFrame], path: str, per_shard: int = 100, max_abs: float = 4.0, levels: Sequence[int] = ()) -> None:
     """Store the patch tables, the patch list in shards with its metadata sidecar."""
     metadata = {"disp_max_abs_value": max_abs, "downsampling_factors": list(levels)}

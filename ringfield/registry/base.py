@@ -86,10 +86,11 @@ def _closure(names: list[str]) -> list[str]:
     return ordered
 
 
-def with_views(body: str, *names: str, recursive: bool = False, **extra: str) -> str:
-    """`body` behind the WITH clauses of the derived views it uses."""
-    clauses = [f"{n} AS ({VIEWS[n].strip()})" for n in _closure(list(names))]
-    clauses += [f"{n} AS ({text.strip()})" for n, text in extra.items()]
+def with_views(body: str, *names: str, recursive: bool = False, once: bool = False, **extra: str) -> str:
+    """`body` behind the WITH clauses of the derived views it uses; `once` has each of them evaluated once."""
+    how = "AS MATERIALIZED" if once else "AS"
+    clauses = [f"{n} {how} ({VIEWS[n].strip()})" for n in _closure(list(names))]
+    clauses += [f"{n} {how} ({text.strip()})" for n, text in extra.items()]
     head = "WITH RECURSIVE " if recursive else "WITH "
     return head + ",\n".join(clauses) + "\n" + body.strip()
 

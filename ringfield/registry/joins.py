@@ -188,7 +188,7 @@ def displace_polygons(spark, sf):
 
 @register(
     "match_distance",
-    with_views("SELECT image_id, poly_id, k, d FROM distances", "distances"),
+    with_views("SELECT image_id, poly_id, k, d FROM distances", "distances", once=True),
 )
 def match_distance(spark, sf):
     m = M.match_vertices(X.vertices(spark, sf), G.explode_ring(X.predicted(spark, sf)))
@@ -209,24 +209,45 @@ def view_permutations(spark, sf):
     return M.view_pairs(X.images(spark, sf).selectExpr("concat('v', image_id) AS view_id"), ordered=True)
 
 
+# A crossing of a horizontal and a vertical side lies in the tile of the one's row and the other's column.
+LEVEL_SIDES = """SELECT *, CAST(floor(i1 / 64) AS BIGINT) AS bi,
+  unnest(range(CAST(floor(least(j1, j2) / 64) AS BIGINT), CAST(floor(greatest(j1, j2) / 64) AS BIGINT) + 1)) AS bj FROM ring_edges WHERE i1 = i2"""
+UPRIGHT_SIDES = """SELECT *, unnest(range(CAST(floor(least(i1, i2) / 64) AS BIGINT), CAST(floor(greatest(i1, i2) / 64) AS BIGINT) + 1)) AS bi,
+  CAST(floor(j1 / 64) AS BIGINT) AS bj FROM ring_edges WHERE j1 = j2"""
+
+
 @register(
     "edge_crossings",
     with_views(
-        """SELECT image_id, poly_id, k, poly_id_b, k_b, i, j FROM (
-          SELECT h.image_id, CASE WHEN h.poly_id < v.poly_id THEN h.poly_id ELSE v.poly_id END AS poly_id,
-            CASE WHEN h.poly_id < v.poly_id THEN h.k ELSE v.k END AS k,
-            CASE WHEN h.poly_id < v.poly_id THEN v.poly_id ELSE h.poly_id END AS poly_id_b,
-            CASE WHEN h.poly_id < v.poly_id THEN v.k ELSE h.k END AS k_b, h.i1 AS i, v.j1 AS j
-          FROM ring_edges h JOIN ring_edges v ON h.image_id = v.image_id AND h.poly_id <> v.poly_id AND h.i1 = h.i2 AND v.j1 = v.j2
-            AND h.i1 BETWEEN least(v.i1, v.i2) AND greatest(v.i1, v.i2) AND v.j1 BETWEEN least(h.j1, h.j2) AND greatest(h.j1, h.j2)
+        """SELECT image_id, CASE WHEN h_first THEN hp ELSE vp END AS poly_id, CASE WHEN h_first THEN hk ELSE vk END AS k,
+            CASE WHEN h_first THEN vp ELSE hp END AS poly_id_b, CASE WHEN h_first THEN vk ELSE hk END AS k_b, i, j FROM (
+          SELECT h.image_id, h.poly_id AS hp, h.k AS hk, v.poly_id AS vp, v.k AS vk, h.i1 AS i, v.j1 AS j,
+            h.poly_id < v.poly_id OR (h.poly_id = v.poly_id AND h.k < v.k) AS h_first
+          FROM h JOIN v ON h.image_id = v.image_id AND h.bi = v.bi AND h.bj = v.bj
+          WHERE h.i1 BETWEEN least(v.i1, v.i2) AND greatest(v.i1, v.i2) AND v.j1 BETWEEN least(h.j1, h.j2) AND greatest(h.j1, h.j2)
             AND NOT ((h.i1 = v.i1 AND h.j1 = v.j1) OR (h.i1 = v.i2 AND h.j1 = v.j2) OR (h.i2 = v.i1 AND h.j2 = v.j1) OR (h.i2 = v.i2 AND h.j2 = v.j2)))""",
-        "ring_edges",
+        "ring_edges", once=True, h=LEVEL_SIDES, v=UPRIGHT_SIDES,
     ),
 )
 def edge_crossings(spark, sf):
-    """Axis-parallel sides of different buildings meet where one is horizontal and one vertical."""
+    """Axis-parallel sides meet where one is horizontal and one vertical, in one building or in two."""
     out = E.edge_crossings(G.edges(X.polygons(spark, sf)))
-    return out.where("poly_id <> poly_id_b").select(*IDS, "k", "poly_id_b", "k_b", (F.col("i") + 0.0).alias("i"), (F.col("j") + 0.0).alias("j"))
+    return out.select(*IDS, "k", "poly_id_b", "k_b", (F.col("i") + 0.0).alias("i"), (F.col("j") + 0.0).alias("j"))
+
+
+@register(
+    "self_crossings",
+    with_views(
+        "SELECT image_id, poly_id, CAST(1 AS INT) AS k, CAST(3 AS INT) AS k_b, (r0 + r1) / 2 AS i, (c0 + c1) / 2 AS j FROM boxes WHERE n = 4", "boxes"
+    ),
+)
+def self_crossings(spark, sf):
+    """Rectangles whose last two corners change places cross themselves in the middle; L shapes do not."""
+    ring = F.col("ring")
+    tied = F.concat(F.slice("ring", 1, 2), F.slice("ring", 4, 1), F.slice("ring", 3, 1))
+    p = X.polygons(spark, sf).select(*IDS, F.when(F.size("ring") == 4, tied).otherwise(ring).alias("ring"))
+    out = E.edge_crossings(G.edges(G.settled(p))).where("poly_id = poly_id_b")
+    return out.select(*IDS, "k", "k_b", F.round("i", 6).alias("i"), F.round("j", 6).alias("j"))
 
 
 ON = "sqrt(({p}i{x} - {q}i1) ** 2 + ({p}j{x} - {q}j1) ** 2) + sqrt(({p}i{x} - {q}i2) ** 2 + ({p}j{x} - {q}j2) ** 2) < sqrt(({q}i1 - {q}i2) ** 2 + ({q}j1 - {q}j2) ** 2) + 0.5"
@@ -234,14 +255,21 @@ ON_SUM = " + ".join(f"CAST({ON.format(p=p, q=q, x=x)} AS INT)" for p, q in (("a.
 SAME_SUM = " - ".join(f"CAST(a.i{x} = b.i{y} AND a.j{x} = b.j{y} AS INT)" for x in (1, 2) for y in (1, 2))
 
 
+# Sides in the tiles that their boxes reach, grown by half a pixel; a pair is taken in the tile of the near corner of both boxes.
+TILED_SIDES = """SELECT *, unnest(range(CAST(floor(c0 / 64) AS BIGINT), CAST(floor(c1 / 64) AS BIGINT) + 1)) AS bj FROM (
+  SELECT *, unnest(range(CAST(floor(r0 / 64) AS BIGINT), CAST(floor(r1 / 64) AS BIGINT) + 1)) AS bi FROM (
+    SELECT *, least(i1, i2) - 0.5 AS r0, greatest(i1, i2) + 0.5 AS r1, least(j1, j2) - 0.5 AS c0, greatest(j1, j2) + 0.5 AS c1 FROM ring_edges))"""
+
+
 @register(
     "edge_overlaps",
     with_views(
         f"""SELECT * FROM (SELECT a.image_id, a.poly_id, a.k, b.poly_id AS poly_id_b, b.k AS k_b, CAST({ON_SUM} - {SAME_SUM} AS INT) AS on_edge
-        FROM ring_edges a JOIN ring_edges b ON a.image_id = b.image_id AND (a.poly_id < b.poly_id OR (a.poly_id = b.poly_id AND a.k < b.k))
-        AND least(a.i1, a.i2) - 1 <= greatest(b.i1, b.i2) AND least(b.i1, b.i2) - 1 <= greatest(a.i1, a.i2)
-        AND least(a.j1, a.j2) - 1 <= greatest(b.j1, b.j2) AND least(b.j1, b.j2) - 1 <= greatest(a.j1, a.j2)) WHERE on_edge >= 2""",
-        "ring_edges",
+        FROM tiled a JOIN tiled b ON a.image_id = b.image_id AND a.bi = b.bi AND a.bj = b.bj
+        WHERE (a.poly_id < b.poly_id OR (a.poly_id = b.poly_id AND a.k < b.k))
+        AND floor(greatest(a.r0, b.r0) / 64) = a.bi AND floor(greatest(a.c0, b.c0) / 64) = a.bj
+        AND a.r0 <= b.r1 AND b.r0 <= a.r1 AND a.c0 <= b.c1 AND b.c0 <= a.c1) WHERE on_edge >= 2""",
+        "ring_edges", once=True, tiled=TILED_SIDES,
     ),
 )
 def edge_overlaps(spark, sf):
@@ -269,16 +297,32 @@ def edge_connectivity(spark, sf):
 
 @register(
     "merge_faces",
-    "SELECT o_orderkey AS poly_id, CAST(v.pos AS INT) AS pos, o_orderkey * 8 + v.v AS v FROM orders CROSS JOIN (VALUES (0, 0), (1, 1), (2, 2), (3, 3)) AS v(pos, v)",
+    """SELECT o_orderkey AS poly_id, CAST(0 AS INT) AS outline, CAST(k.k AS INT) AS pos,
+      o_orderkey * 16 + CASE WHEN o_orderkey % 2 = 0 THEN k.k ELSE (n - k.k) % n END AS v
+    FROM (SELECT o_orderkey, 4 + o_orderkey % 5 AS n FROM orders) JOIN range(0, 8) AS k(k) ON k.k < n
+    UNION ALL
+    SELECT o_orderkey AS poly_id, CAST(w.o AS INT) AS outline, CAST(w.pos AS INT) AS pos, o_orderkey * 16 + w.v AS v
+    FROM orders JOIN (VALUES (1, 0, 8), (1, 1, 9), (1, 2, 10), (1, 3, 11), (2, 0, 12), (2, 1, 15), (2, 2, 14), (2, 3, 13)) AS w(o, pos, v) ON o_orderkey % 3 = 0""",
 )
 def merge_faces(spark, sf):
-    """The two triangles of a rectangle give the rectangle back."""
-    base = F.col("poly_id") * 8
-    faces = X.buildings(spark, sf).select(
-        "poly_id", F.explode(F.array(*[F.array(*[base + v for v in t]) for t in ((0, 1, 2), (0, 2, 3))])).alias("face")
+    """Rings of 4 to 8 vertices cut along a chord, in both directions, give the ring back; every third building has a frame cut in two besides, which gives its outer and its inner outline."""
+    base, n = F.col("poly_id") * 16, F.col("n")
+    shifted = X.buildings(spark, sf).select("poly_id", (4 + F.col("poly_id") % 5).alias("n"), (F.col("poly_id") % 7).alias("turn"))
+    ring = F.transform(F.sequence(F.lit(0), n - 1), lambda k: base + (k + F.col("turn")) % n)
+    ring = shifted.select("poly_id", "n", F.when(F.col("poly_id") % 2 == 0, ring).otherwise(F.reverse(ring)).alias("ring"))
+    # The chord joins the first vertex with one in the middle.
+    middle = (F.col("poly_id") % (n - 3) + 3).cast("int")
+    first = F.slice("ring", F.lit(1), middle)
+    second = F.concat(F.slice("ring", F.lit(1), F.lit(1)), F.slice("ring", middle, (n - middle + 1).cast("int")))
+    cut = ring.select("poly_id", F.lit(0).alias("part"), F.explode(F.array(first, second)).alias("face"))
+    halves = [(8, 9, 13, 12, 15, 11), (9, 10, 11, 15, 14, 13)]
+    frames = X.buildings(spark, sf).where("poly_id % 3 = 0").select(
+        "poly_id", F.lit(1).alias("part"), F.explode(F.array(*[F.array(*[F.col("poly_id") * 16 + v for v in h]) for h in halves])).alias("face")
     )
-    out = E.merge_faces(faces, ["poly_id"])
-    return out.select("poly_id", F.posexplode("face").alias("pos", "v"))
+    out = E.merge_faces(cut.unionByName(frames), ["poly_id", "part"])
+    low = F.get("face", F.lit(0)) - F.col("poly_id") * 16
+    number = F.col("part") + F.when(low == 12, 1).otherwise(0)
+    return out.select("poly_id", number.cast("int").alias("outline"), F.posexplode("face").alias("pos", "v"))
 
 
 @register(

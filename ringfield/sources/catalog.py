@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.utils import AnalysisException
 
 
@@ -96,18 +100,72 @@ def pending(images: DataFrame, done: DataFrame) -> DataFrame:
     return images.join(done.select("image_id").distinct(), "image_id", "left_anti")
 
 
-def save_round(polygons: DataFrame, path: str, source: str) -> None:
-    """Write one polygon version below `path/source=...`, replacing an earlier run of the same version."""
+class RoundError(RuntimeError):
+    """A stored polygon version that cannot be read: `state` is unfinished or damaged."""
+
+    def __init__(self, state: str, path: str, why: str):
+        super().__init__(f"{state} polygon version at {path}: {why}")
+        self.state = state
+
+
+COMMIT = "version BIGINT, data STRING, rows BIGINT, columns STRING"
+
+
+def _found(spark: SparkSession, path: str, kind: str, schema=None) -> DataFrame | None:
+    """The table at a path, None where there is nothing of that name."""
+    reader = spark.read.format(kind)
+    try:
+        return (reader.schema(schema) if schema is not None else reader).load(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def _last_commit(spark: SparkSession, base: str):
+    commits = _found(spark, f"{base}/commits/*/", "json", COMMIT)
+    return None if commits is None else commits.where("version IS NOT NULL").orderBy(F.desc("version"), F.desc("data")).first()
+
+
+def save_round(polygons: DataFrame, path: str, source: str) -> int:
+    """Store one polygon version as `source` below `path`; gives the number of this writing.
+
+    Rows go to a folder of their own; a commit record (number, folder, rows, columns) is written when they are complete. Until then
+    readers see what was committed before, so a rerun replaces a version at once or not at all. Earlier writings stay.
+    """
+    spark, base = polygons.sparkSession, f"{path.rstrip('/')}/{source}"
     rows = polygons.drop("source")
-    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/source={source}")
+    last = _last_commit(spark, base)
+    version = last.version + 1 if last else 0
+    data = f"{version}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{base}/data/{data}")
+    count = spark.read.schema(rows.schema).parquet(f"{base}/data/{data}").count()
+    commit = spark.range(1).select(
+        F.lit(version).cast("long").alias("version"), F.lit(data).alias("data"), F.lit(count).cast("long").alias("rows"), F.lit(rows.schema.json()).alias("columns")
+    )
+    commit.coalesce(1).write.json(f"{base}/commits/{data}")
+    return version
 
 
 def load_round(spark: SparkSession, path: str, source: str, images: DataFrame | None = None) -> DataFrame | None:
-    """Read one version; None when it was never written. With `images`, those without polygons have a null ring."""
-    try:
-        rows = spark.read.parquet(f"{path.rstrip('/')}/source={source}")
-    except AnalysisException:
-        return None
+    """Read the last committed writing of a version. With `images`, those without polygons have a null ring.
+
+    None when it was never written. A version whose only writing was not completed, and one whose rows are not those that were
+    committed, raise `RoundError`.
+    """
+    base = f"{path.rstrip('/')}/{source}"
+    commit = _last_commit(spark, base)
+    if commit is None:
+        if _found(spark, base, "binaryFile") is None:
+            return None
+        raise RoundError("unfinished", base, "no commit record")
+    schema = StructType.fromJson(json.loads(commit.columns))
+    rows = _found(spark, f"{base}/data/{commit.data}", "parquet", schema)
+    if rows is None:
+        raise RoundError("damaged", base, "its rows are gone")
+    count = rows.count()
+    if count != commit.rows:
+        raise RoundError("damaged", base, f"{count} rows where {commit.rows} were committed")
     rows = rows.withColumn("source", F.lit(source))
     return rows if images is None else attach_round(images, rows)
 

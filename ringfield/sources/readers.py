@@ -9,24 +9,18 @@ from ringfield.functions import rings
 from ringfield.operators.geometry import project_lonlat, settled, world_to_image
 from ringfield.operators.skew import skew_join
 from ringfield.operators.tiles import bucket, explode_buckets
+from ringfield.sources.splits import json_records, lines, numbered
 
-LINE = "line STRING"
-COCO_SCHEMA = (
-    "annotations ARRAY<STRUCT<id: BIGINT, image_id: BIGINT, category_id: BIGINT, segmentation: ARRAY<ARRAY<DOUBLE>>>>,"
-    "images ARRAY<STRUCT<id: BIGINT, file_name: STRING>>, categories ARRAY<STRUCT<id: BIGINT>>"
-)
+COCO_RECORD = "id BIGINT, image_id BIGINT, category_id BIGINT, segmentation ARRAY<ARRAY<DOUBLE>>, file_name STRING"
 FEATURE_SCHEMA = "geometry STRUCT<coordinates: ARRAY<ARRAY<ARRAY<DOUBLE>>>>, properties MAP<STRING, STRING>"
 # Fixed value: pixel size assumed for annotation files, which carry none.
 ANNOTATION_PIXELSIZE = 0.3
 
 
 def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Polygon parts of wide CSV files; the header line of each file is skipped."""
-    # A separator that never occurs keeps each line whole, while the header option still applies per file.
-    lines = spark.read.schema(LINE).option("header", "true").option("sep", "\u0001").option("quote", "").csv(path)
-    text = lines.select("line", F.input_file_name().alias("file"))
-    numbered = text.withColumn("poly_id", F.monotonically_increasing_id())
-    return parse_wide_rows(numbered)
+    """Polygon parts of wide CSV files; the header line of each file is skipped. Ids come from file and byte offset."""
+    text = lines(spark, path).where((F.col("start") > 0) & (F.col("line") != ""))
+    return parse_wide_rows(numbered(text, "poly_id").select("poly_id", "file", "line"))
 
 
 def parse_wide_rows(lines: DataFrame, skip: int = 3) -> DataFrame:
@@ -97,15 +91,14 @@ def annotated_images(images: DataFrame, annotations: DataFrame, categories: Data
 
 
 def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(images, polygons) of annotation documents.
+    """(images, polygons) of annotation documents, each of which may be cut by many tasks.
 
-    A document of this format is one JSON value, so one task reads one file;
-    large sets come as many files, or as tables passed to `coco_polygons`.
+    Annotations are the objects with an `image_id`, images those with a `file_name`, the others are categories.
     """
-    documents = spark.read.schema(COCO_SCHEMA).option("multiLine", "true").json(path)
-    annotations = documents.select(F.explode("annotations").alias("a")).select("a.*")
-    images = documents.select(F.explode("images").alias("m")).select("m.*")
-    categories = documents.select(F.explode("categories").alias("c")).select("c.*")
+    found = json_records(spark, path).select(F.from_json("record", COCO_RECORD).alias("r")).select("r.*")
+    annotations = found.where("image_id IS NOT NULL").drop("file_name")
+    images = found.where("image_id IS NULL AND file_name IS NOT NULL").select("id", "file_name")
+    categories = found.where("image_id IS NULL AND file_name IS NULL AND id IS NOT NULL").select("id")
     kept = annotated_images(images, annotations, categories)
     return kept, coco_polygons(annotations, kept)
 
@@ -139,9 +132,13 @@ def osm_ways_to_polygons(
 
 
 def read_geojson(spark: SparkSession, path: str, image_id: int | None = None) -> DataFrame:
-    """Features, one JSON object per line: (feature_id, world, props, extra_dims)."""
-    features = spark.read.schema(FEATURE_SCHEMA).json(path)
-    parsed = parse_features(features.withColumn("poly_id", F.monotonically_increasing_id()))
+    """Features of collections, or one a line: (poly_id, world, props, extra_dims).
+
+    A large file is cut by many tasks; ids come from file and byte offset. Text that is no JSON is an error.
+    """
+    found = numbered(json_records(spark, path, "features"), "poly_id")
+    read = found.select("poly_id", F.from_json("record", FEATURE_SCHEMA, {"mode": "FAILFAST"}).alias("f")).select("poly_id", "f.*")
+    parsed = parse_features(read)
     return parsed if image_id is None else parsed.withColumn("image_id", F.lit(image_id).cast("long"))
 
 

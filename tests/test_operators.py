@@ -16,7 +16,7 @@ from ringfield.operators import overlap as O
 from ringfield.operators import raster as R
 from ringfield.operators import tiles as T
 from ringfield.operators import windows as N
-from ringfield.operators.components import connected_components
+from ringfield.operators.components import connected_components, cycle_order
 from ringfield.operators.skew import skew_join
 from ringfield.plans import align as A
 from ringfield.plans import examples as Ex
@@ -202,10 +202,114 @@ def test_running_clusters_match_a_loop(spark):
             members = []
         members.append(row)
         expected[row[1]] = members[0][1]
-    starts = {r.poly_id: r.start for r in O.running_clusters(rects(spark, rows), 16, block=20).collect()}
+    starts = {r.poly_id: r.start for r in O.running_clusters(rects(spark, rows), 16).collect()}
     assert starts == expected
 
 
+def looped_starts(rows):
+    """`rows` of one image in id order, with the partner of each."""
+    start, out = None, {}
+    for own, partner in rows:
+        if start is None or partner is None or partner < start:
+            start = own
+        out[own] = start
+    return out
+
+
+@pytest.mark.parametrize("kind", ["chain", "skipping", "random", "none"])
+def test_running_clusters_of_sparse_ids(spark, kind, monkeypatch):
+    """Starts that depend on each other over 10,000 polygons, with ids far apart; the partners are given."""
+    draw = random.Random(kind)
+    rows = {}
+    for image in (0, 1):
+        ids = sorted(draw.sample(range(1 << 50), 10_000 if image else 40))
+        back = {"chain": lambda n: n - 1, "skipping": lambda n: n - 2 - n % 3, "random": lambda n: n - draw.randrange(1, 30), "none": lambda n: -1}[kind]
+        rows[image] = [(x, ids[back(n)] if back(n) >= 0 and draw.random() < 0.999 else None) for n, x in enumerate(ids)]
+        rows[image][0] = (ids[0], None)
+    pairs = [(m, p, x) for m, of in rows.items() for x, p in of if p is not None]
+    pairs += [(m, min(p, 1), x) for m, p, x in pairs[::7]]
+    made = spark.createDataFrame(pairs, "image_id long, poly_a long, poly_b long")
+    monkeypatch.setattr(O, "overlapping_pairs", lambda polygons, size: made)
+    table = spark.createDataFrame([(m, x) for m, of in rows.items() for x, _ in of], "image_id long, poly_id long")
+    found = {(r.image_id, r.poly_id): r.start for r in O.running_clusters(table).collect()}
+    assert found == {(m, x): start for m, of in rows.items() for x, start in looped_starts(of).items()}
+
+
+@pytest.mark.parametrize("kind", ["path", "star", "clique", "two trees", "loops"])
+def test_components_of_shapes(spark, kind):
+    draw = random.Random(1)
+    names = draw.sample(range(10**12), 600)
+    pairs = {
+        "path": [(n, n + 1) for n in range(599)],
+        "star": [(599, n) for n in range(599)],
+        "clique": [(a, b) for a in range(40) for b in range(a)],
+        "two trees": [(n, n // 2) for n in range(2, 300)] + [(300 + n, 300 + n // 3) for n in range(3, 300)],
+        "loops": [(n, n) for n in range(50)] + [(7, 8), (8, 7), (7, 8)],
+    }[kind]
+    pairs = [(names[a], names[b]) for a, b in pairs]
+    nodes = spark.createDataFrame([(n,) for n in names], "id long")
+    links = spark.createDataFrame(pairs, "a long, b long")
+    found = {r.id: r.label for r in connected_components(nodes, links, []).collect()}
+    assert found == brute_components(names, pairs)
+
+
+def test_cycle_order(spark):
+    draw = random.Random(2)
+    chain, want = [], {}
+    for g, sizes in enumerate(([1, 2, 3, 200], [4, 37])):
+        for n in sizes:
+            ids = draw.sample(range(g * 10**6, (g + 1) * 10**6), n)
+            low = ids.index(min(ids))
+            ids = ids[low:] + ids[:low]
+            chain += [(g, a, b) for a, b in zip(ids, ids[1:] + ids[:1])]
+            want |= {(g, x): (ids[0], (n - k) % n) for k, x in enumerate(ids)}
+    found = cycle_order(spark.createDataFrame(chain, "g int, id long, next long"), ["g"])
+    assert {(r.g, r.id): (r.label, r.ahead) for r in found.collect()} == want
+
+
+def merged(spark, groups, common=None):
+    rows = [(g, list(f)) for g, faces in groups.items() for f in faces]
+    table = spark.createDataFrame(rows, "g int, face array<bigint>")
+    ends = None
+    if common:
+        table = table.withColumns({"e0": F.lit(common[0]).cast("long"), "e1": F.lit(common[1]).cast("long")})
+        ends = ("e0", "e1")
+    found = {}
+    for r in E.merge_faces(table, ["g"], ends).collect():
+        found.setdefault(r.g, []).append(tuple(r.face))
+    return {g: sorted(f) for g, f in found.items()}
+
+
+def test_merged_faces_give_every_outline(spark):
+    # A frame cut into two C shapes: one outline outside, one around the hole.
+    frame = [(0, 1, 5, 4, 7, 3), (1, 2, 3, 7, 6, 5)]
+    groups = {
+        0: [(0, 1, 2), (0, 2, 3)],
+        1: frame,
+        # Two squares that share a vertex only, and two that share all sides.
+        2: [(0, 1, 2, 3), (2, 4, 5, 6)],
+        3: [(0, 1, 2), (2, 1, 0)],
+        # Three faces around an inner vertex.
+        4: [(0, 1, 9), (1, 2, 9), (2, 0, 9)],
+        # A face that meets the other along two sides in a row.
+        5: [(0, 1, 2, 3, 4), (3, 2, 1, 7)],
+    }
+    found = merged(spark, groups)
+    assert found[0] == [(0, 1, 2, 3)]
+    assert found[1] == [(0, 1, 2, 3), (4, 7, 6, 5)]
+    assert found[2] == [(0, 1, 2, 3), (2, 4, 5, 6)]
+    assert 3 not in found
+    assert found[4] == [(0, 1, 2)]
+    assert found[5] == [(0, 1, 7, 3, 4)]
+
+
+def test_merging_around_one_side_leaves_a_bridge(spark):
+    frame = [(0, 1, 5, 4, 7, 3), (1, 2, 3, 7, 6, 5)]
+    # The other common side 3-7 stays and is walked in both directions.
+    (face,) = merged(spark, {0: frame}, common=(1, 5))[0]
+    assert len(face) == 10 and face.count(3) == face.count(7) == 2
+
+
 def test_edge_crossings_match_brute_force(spark):
     draw = random.Random(7)
     ends = [tuple(draw.uniform(0, 60) for _ in range(4)) for _ in range(90)]
@@ -378,6 +482,90 @@ def test_missing_round_is_none(spark, tmp_path):
     assert A.align_round(spark, str(tmp_path), "gt_polygons", "next", None, {}) is None
 
 
+def test_rounds_tell_absent_unfinished_and_damaged_apart(spark, tmp_path):
+    rows = rects(spark, [(0, 0, 0.0, 0.0, 2.0, 2.0), (0, 1, 0.0, 0.0, 2.0, 2.0)])
+    path = str(tmp_path / "rounds")
+    assert C.load_round(spark, path, "a") is None
+    # Rows without a commit record, as a writer leaves them that was stopped; an empty folder is no version either.
+    rows.write.parquet(f"{path}/b/data/0-x")
+    (tmp_path / "rounds" / "empty").mkdir()
+    for name in ("b", "empty"):
+        with pytest.raises(C.RoundError) as error:
+            C.load_round(spark, path, name)
+        assert error.value.state == "unfinished"
+    assert C.save_round(rows, path, "b") == 0
+    assert C.load_round(spark, path, "b").count() == 2
+    # A rerun that stops leaves the version as it was, one that ends replaces it whole, also by nothing.
+    rows.limit(1).write.parquet(f"{path}/b/data/1-y")
+    assert C.load_round(spark, path, "b").count() == 2
+    assert C.save_round(rows.limit(1), path, "b") == 1
+    assert C.load_round(spark, path, "b").count() == 1
+    assert C.save_round(rows.limit(0), path, "b") == 2
+    assert C.load_round(spark, path, "b").columns == [*rows.columns, "source"] and C.load_round(spark, path, "b").isEmpty()
+    C.save_round(rows, path, "c")
+    (data,) = (tmp_path / "rounds" / "c" / "data").iterdir()
+    rows.write.mode("append").parquet(str(data))
+    with pytest.raises(C.RoundError) as error:
+        C.load_round(spark, path, "c")
+    assert error.value.state == "damaged"
+
+
+FEATURES = [
+    {"type": "Feature", "properties": {"name": 'a "quoted} {brace', "n": 1}, "geometry": {"type": "Polygon", "coordinates": [[[0, 1], [2, 3], [4, 5]]]}},
+    {"type": "Feature", "geometry": {"type": "Polygon", "coordinates": [[[10, 1, 7], [12, 3, 7], [14, 5, 7]], [[0, 0], [1, 1]]]}, "properties": {}},
+    {"type": "Feature", "properties": {"slash": "\\", "more": "]}[{\\\"", "é": "漢字"}, "geometry": {"type": "Polygon", "coordinates": [[[-1.5, 0.25], [2, 3]]]}},
+]
+
+
+@pytest.mark.parametrize("layout", ["collection", "indented", "lines", "keys last"])
+@pytest.mark.parametrize("split", [1 << 27, 97, 31])
+def test_features_are_found_whatever_the_splits(spark, tmp_path, layout, split):
+    import json
+
+    features = FEATURES * 9
+    whole = {"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "x"}}, "features": features}
+    if layout == "keys last":
+        whole = {"features": features, "crs": {"a": [{"b": 1}]}, "type": "FeatureCollection"}
+    text = "\n".join(json.dumps(f, ensure_ascii=False) for f in features) + "\n" if layout == "lines" else json.dumps(whole, indent=2 if layout == "indented" else None)
+    (tmp_path / "a.json").write_text(text)
+    (tmp_path / "b.json").write_text(json.dumps(whole))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        found = Rd.read_geojson(spark, str(tmp_path)).orderBy("poly_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = [[tuple(map(float, p[:2])) for p in f["geometry"]["coordinates"][0]] for f in features] * 2
+    assert [[(p.x, p.y) for p in r.world] for r in found] == want
+    assert [r.props for r in found[:3]] == [{k: str(v) for k, v in f["properties"].items()} for f in FEATURES]
+    # The id of a feature is its file and the byte at which it begins.
+    data = text.encode()
+    for r in found[: len(features)]:
+        assert r.poly_id < 1 << 44 and json.JSONDecoder().raw_decode(data[r.poly_id :].decode())[0] in FEATURES
+    assert len({r.poly_id for r in found}) == 2 * len(features)
+
+
+@pytest.mark.parametrize("text", ['{"type": "Feature", "geometry": {"coordinates": oops}}\n', '{"features": [{"geometry": {"coordinates": [[[1, 2]]]}}', "hello\n{}\n"])
+def test_broken_feature_files_raise(spark, tmp_path, text):
+    (tmp_path / "a.json").write_text(text)
+    with pytest.raises(Exception, match="(?i)json|malformed|incomplete"):
+        Rd.read_geojson(spark, str(tmp_path)).collect()
+
+
+def test_wide_rows_have_stable_ids(spark, tmp_path):
+    for n in range(2):
+        (tmp_path / f"{n}.csv").write_text("a,b,c\n" + "".join(f"{k},x,y,{k},2,3,4\n" for k in range(50)))
+    seen = []
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in (before, "61"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        try:
+            seen.append(sorted((r.poly_id, r.ring[0].j) for r in Rd.read_wide_csv(spark, str(tmp_path)).collect()))
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert seen[0] == seen[1] and len(seen[0]) == 100
+
+
 def test_oversample_needs_integers(spark):
     with pytest.raises(ValueError):
         C.oversample(spark.range(1), {1: 1.5})
@@ -450,3 +638,46 @@ def test_stateless_operators_on_a_stream(spark, sf, tmp_path):
     query.awaitTermination(120)
     still = G.ring_area(X.polygons(spark, sf)).select("poly_id", "area")
     assert spark.read.parquet(str(tmp_path / "out")).exceptAll(still).count() == 0
+
+
+# ------------------------------------------------------------ closed rings and parts
+
+
+def vertex_rows(spark, rings_):
+    rows = [(0, p, part, k, float(i), float(j)) for p, part, ring in rings_ for k, (i, j) in enumerate(ring)]
+    return spark.createDataFrame(rows, "image_id long, poly_id long, part int, k int, i double, j double")
+
+
+def ring_rows(spark, rings_):
+    rows = [(0, p, part, [(float(i), float(j)) for i, j in ring]) for p, part, ring in rings_]
+    return spark.createDataFrame(rows, "image_id long, poly_id long, part int, ring array<struct<i:double,j:double>>")
+
+
+def test_a_closing_vertex_counts_once(spark):
+    nan = float("nan")
+    truth = [(0, 0, [(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)])]
+    moved = [(0, 0, [(0, 0), (0, 4), (4, 9), (4, 0), (0, 0)])]
+    tail = [(nan, nan), (50, 50), (60, 60)]
+    for more, other in (([], []), (tail, [(nan, nan), (0, 0), (0, 0)])):
+        a, b = ([(p, q, ring + extra) for p, q, ring in rows] for rows, extra in ((truth, more), (moved, other)))
+        for curve in (M.vertex_accuracy(vertex_rows(spark, a), vertex_rows(spark, b), [1.0]), M.threshold_accuracy(ring_rows(spark, a), ring_rows(spark, b), [1.0])):
+            assert [r.value for r in curve.collect()] == [0.75]
+
+
+def test_parts_meet_their_own(spark):
+    both = [(0, 0, [(0, 0), (0, 4), (4, 4)]), (0, 1, [(50, 50), (50, 54), (54, 54)])]
+    assert [r.value for r in M.threshold_accuracy(ring_rows(spark, both), ring_rows(spark, both), [0.5]).collect()] == [1.0]
+    assert [r.value for r in M.vertex_accuracy(vertex_rows(spark, both), vertex_rows(spark, both), [0.5]).collect()] == [1.0]
+    summary = M.distance_summary(ring_rows(spark, both), ring_rows(spark, both), ["image_id"]).first()
+    assert (summary.min_d, summary.max_d) == (0.0, 0.0)
+
+
+def test_displaced_copies_are_measured_on_distinct_vertices(spark):
+    from ringfield.plans.evaluate import make_test_displacements
+
+    ring = spark.createDataFrame([(0, 0, [(0.0, 0.0), (0.0, 3.0), (3.0, 3.0), (3.0, 0.0), (0.0, 0.0)])], "image_id long, poly_id long, ring array<struct<i:double,j:double>>")
+    # The one cell with a vector is that of the closing corner.
+    field = spark.createDataFrame([(i, j, 1.0 if i == j == 0 else 0.0, 0.0) for i in range(4) for j in range(4)], "i int, j int, di double, dj double")
+    moved, base = make_test_displacements(ring, field, 4, 4, 8.0, [1.0])
+    assert moved.count() == 5
+    assert [r.value for r in base.collect()] == [0.75]
