@@ -132,7 +132,9 @@ def json_records(spark: SparkSession, path: str, collection: str = "") -> DataFr
     open_end = F.col("offset") + F.col("bytes") >= F.col("size")
     name = f'"{collection}"' if collection else '"[^"]*"'
     lists = F.max((F.col("depth") <= 1) & (F.col("quoted") == 0) & F.col("value").rlike(rf"^[^\[]*{name}\s*:\s*\["))
-    left = F.max(F.when(open_end, F.col("ends") + F.when((F.col("quoted") + F.col("quotes")) % 2 == 1, 1).otherwise(0)))
+    in_string = F.when((F.col("quoted") + F.col("quotes")) % 2 == 1, 1).otherwise(0)
+    is_last = F.col("offset") + F.col("bytes") + 1 >= F.col("size")
+    left = F.max(F.when(open_end, F.col("ends") + in_string).when(is_last, F.col("depth") + F.col("net") + in_string))
     files = known.groupBy("file").agg(F.when(lists, 2).otherwise(0).alias("level"), left.alias("left"))
     states = known.join(files, "file").where(
         F.when(F.coalesce(F.col("left"), F.lit(0)) != 0, F.raise_error(F.concat(F.lit("incomplete JSON: "), F.col("file")))).otherwise(True)

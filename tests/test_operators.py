@@ -517,8 +517,7 @@ FEATURES = [
 ]
 
 
-@pytest.mark.parametrize("layout", ["collection", "indented", "lines", "keys last"])
-@pytest.mark.parametrize("split", [1 << 27, 97, 31])
+@pytest.mark.parametrize("layout, split", [("collection", 1 << 27), ("collection", 31), ("indented", 61), ("lines", 61), ("keys last", 97)])
 def test_features_are_found_whatever_the_splits(spark, tmp_path, layout, split):
     import json
 
