@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ringfield.functions import rings
@@ -26,8 +27,8 @@ def _int_rows(low: Column, high: Column) -> Column:
     return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def fill_cells(polygons: DataFrame) -> DataFrame:
-    """Cells whose centre lies in the closed polygon: (keys, i, j), duplicates possible.
+def fill_spans(polygons: DataFrame) -> DataFrame:
+    """Runs of cells whose centre lies in the closed polygon: (keys, i, a, b), both ends included; runs may overlap.
 
     Rows of a ring are exploded, its edges are crossed with the row, and the
     sorted crossings are paired into spans. A row through a vertex is crossed
@@ -60,7 +61,32 @@ def fill_cells(polygons: DataFrame) -> DataFrame:
     starts = F.sequence(F.lit(0), F.size("x") - 2, F.lit(2))
     spans = F.transform(starts, lambda n: F.struct(F.get("x", n).alias("a"), F.get("x", n + 1).alias("b")))
     spanned = crossed.select(*keys, "i", F.explode(spans).alias("s"))
-    return spanned.select(*keys, "i", F.explode(_int_rows(F.col("s.a") - ON_LINE, F.col("s.b") + ON_LINE)).alias("j"))
+    first, last = F.ceil(F.col("s.a") - ON_LINE).cast("int"), F.floor(F.col("s.b") + ON_LINE).cast("int")
+    return spanned.select(*keys, "i", first.alias("a"), last.alias("b")).where(F.col("a") <= F.col("b"))
+
+
+def fill_cells(polygons: DataFrame) -> DataFrame:
+    """Cells whose centre lies in the closed polygon: (keys, i, j), duplicates possible."""
+    spans = fill_spans(polygons)
+    keys = [c for c in spans.columns if c not in ("a", "b")]
+    return spans.select(*keys, F.explode(F.sequence("a", "b")).alias("j"))
+
+
+def merged_spans(spans: DataFrame, height: int | Column, width: int | Column) -> DataFrame:
+    """Cells (keys, i, j) of runs (keys, i, a, b) inside the image, each once.
+
+    Of runs that begin in the same cell the longest is kept, before the shuffle where it can be, so an image row holds no
+    more runs than cells, however many polygons lie there. In order, each run gives the cells beyond those before it; only then are runs exploded.
+    """
+    keys = [c for c in spans.columns if c not in ("i", "a", "b")]
+    inside = spans.withColumns({"a": F.greatest("a", F.lit(0)), "b": F.least("b", F.lit(width) - 1 if isinstance(width, int) else width - 1)})
+    inside = inside.where((F.col("i") >= 0) & (F.col("i") < height) & (F.col("a") <= F.col("b")))
+    limits = [c for c in ("height", "width") if c in keys]
+    longest = inside.groupBy(*keys, "i", "a").agg(F.max("b").alias("b"))
+    row = W.partitionBy(*[k for k in keys if k not in limits], "i").orderBy("a").rowsBetween(W.unboundedPreceding, -1)
+    first = F.greatest(F.col("a"), F.coalesce(F.max("b").over(row), F.lit(-1)) + 1)
+    fresh = longest.withColumn("a", first).where(F.col("a") <= F.col("b"))
+    return fresh.select(*keys, "i", F.explode(F.sequence("a", "b")).alias("j"))
 
 
 def line_cells(edge_rows: DataFrame, width: int = 3) -> DataFrame:
@@ -90,6 +116,29 @@ def line_cells(edge_rows: DataFrame, width: int = 3) -> DataFrame:
     )
 
 
+def line_spans(edge_rows: DataFrame, width: int = 3) -> DataFrame:
+    """The cells of `line_cells` as runs (keys, i, a, b); a line along a row is one run for each row of its width."""
+    keys = [c for c in edge_rows.columns if c not in ("i1", "j1", "i2", "j2", "k")]
+    ends = {c: half_even(F.col(c)) for c in ("i1", "j1", "i2", "j2")}
+    lines = edge_rows.select(*keys, *[v.cast("int").alias(c) for c, v in ends.items()])
+    half = (width - 1) // 2
+    di, dj = F.col("i2") - F.col("i1"), F.col("j2") - F.col("j1")
+    steps = F.greatest(F.abs(di), F.abs(dj))
+    level = (di == 0) & (dj != 0)
+
+    def step(t: Column) -> Column:
+        share = F.when(steps > 0, t / F.nullif(steps, F.lit(0))).otherwise(0.0)
+        i, j = half_even(F.col("i1") + di * share).cast("int"), half_even(F.col("j1") + dj * share).cast("int")
+        # Widened across the longer axis: a run in a steep line's row, or single cells above and below a flat line's.
+        wide = F.array(F.struct(i.alias("i"), (j - half).alias("a"), (j + width - half - 1).alias("b")))
+        tall = F.array(*[F.struct((i + o).alias("i"), j.alias("a"), j.alias("b")) for o in range(-half, width - half)])
+        return F.when(F.abs(di) >= F.abs(dj), wide).otherwise(tall)
+
+    flat = F.array(*[F.struct((F.col("i1") + o).alias("i"), F.least("j1", "j2").alias("a"), F.greatest("j1", "j2").alias("b")) for o in range(-half, width - half)])
+    walked = F.flatten(F.transform(F.sequence(F.lit(0), steps), step))
+    return lines.select(*keys, F.explode(F.when(level, flat).otherwise(walked)).alias("s")).select(*keys, "s.i", "s.a", "s.b")
+
+
 def drawn_edges(polygons: DataFrame, closed: bool = False) -> DataFrame:
     """Edges to draw: consecutive vertices only, as rings repeat their first vertex; `closed` adds the last side."""
     keys = [c for c in polygons.columns if c != "ring"]
@@ -108,27 +157,25 @@ def rasterize(
 ) -> DataFrame:
     """(keys, layer, i, j, value): the union of all polygons per key and layer.
 
-    `polygons` carries the grouping keys and `ring`; the union is one aggregate
-    with partial results before the shuffle, so piles of copies stay cheap.
+    `polygons` carries the grouping keys and `ring`. Everything is drawn as runs
+    of cells, which are merged per image row; cells come into being at the end.
     """
     keys = [c for c in polygons.columns if c not in ("ring", "poly_id", "part")]
     shells = settled(polygons.select(*keys, rings.cut_at_nan(F.col("ring")).alias("ring"))).where(F.size("ring") > 0)
     parts: list[DataFrame] = []
     if "fill" in layers:
-        parts.append(fill_cells(shells).select(*keys, F.lit("fill").alias("layer"), "i", "j"))
+        parts.append(fill_spans(shells).select(*keys, F.lit("fill").alias("layer"), "i", "a", "b"))
     if "edge" in layers:
-        lines = line_cells(drawn_edges(shells, closed), line_width)
-        parts.append(lines.select(*keys, F.lit("edge").alias("layer"), "i", "j"))
+        lines = line_spans(drawn_edges(shells, closed), line_width)
+        parts.append(lines.select(*keys, F.lit("edge").alias("layer"), "i", "a", "b"))
     if "vertex" in layers:
         points = shells.select(*keys, F.explode("ring").alias("p"))
-        at = [half_even(F.col(f"p.{c}")).cast("int").alias(c) for c in ("i", "j")]
-        parts.append(points.select(*keys, F.lit("vertex").alias("layer"), *at))
-    cells = parts[0]
+        i, j = (half_even(F.col(f"p.{c}")).cast("int") for c in ("i", "j"))
+        parts.append(points.select(*keys, F.lit("vertex").alias("layer"), i.alias("i"), j.alias("a"), j.alias("b")))
+    spans = parts[0]
     for part in parts[1:]:
-        cells = cells.unionByName(part)
-    low = F.lit(0)
-    inside = (F.col("i") >= low) & (F.col("i") < height) & (F.col("j") >= low) & (F.col("j") < width)
-    return cells.where(inside).distinct().withColumn("value", F.lit(float(value)))
+        spans = spans.unionByName(part)
+    return merged_spans(spans, height, width).withColumn("value", F.lit(float(value)))
 
 
 def rasterize_lines(edge_rows: DataFrame, width: int = 1, blur: tuple[int, float] | None = None) -> DataFrame:
