@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ringfield import fixtures as X
@@ -170,21 +171,79 @@ def _echo(images, maps):
     return inner[..., :2] * 0.5, level.repeat(4, axis=-1)
 
 
+def _echo_apart(images, maps):
+    """As `_echo`, but with another share of the mean band in every layer."""
+    field, level = _echo(images, maps)
+    return field, level * np.array([1.0, 0.5, 0.25, 0.125])
+
+
 @register(
     "predict_patches",
     with_views(
-        """SELECT image_id, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round((v / 255 * 2 - 1) * 4, 6) AS di, round(v / 255, 6) AS fill
-        FROM (SELECT *, greatest(least(value * 100 + 100, 255), 0) AS v FROM cells) WHERE i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6""",
+        """SELECT image_id, CAST(i - 1 AS INT) AS i, CAST(j - 1 AS INT) AS j, round((v0 / 255 * 2 - 1) * 4, 6) AS di, round((v1 / 255 * 2 - 1) * 4, 6) AS dj,
+          round(m, 6) AS bg, round(m / 2, 6) AS fill, round(m / 4, 6) AS edge, round(m / 8, 6) AS vertex
+        FROM (SELECT *, (v0 + v1 + v2) / 3 / 255 AS m FROM (SELECT *, greatest(least(value * 100 + 100, 255), 0) AS v0,
+          greatest(least(value * 100 + 120, 255), 0) AS v1, greatest(least(value * 100 + 140, 255), 0) AS v2 FROM cells)) WHERE i BETWEEN 1 AND 6 AND j BETWEEN 1 AND 6""",
         "cells",
     ),
 )
 def predict_patches(spark, sf):
-    """Patches of 4 with an output of 2 over 8 x 8 tiles, batches of 12; the model echoes its input."""
-    pixels = _tiles(spark, sf)
+    """Patches of 4 with an output of 2 over 8 x 8 tiles of three bands, batches of 12; the model echoes its input."""
+    c = X.cells(spark, sf).withColumn("b", F.explode(F.array(*[F.lit(n) for n in range(3)])))
+    pixels = c.selectExpr("image_id", "b AS band", "i", "j", "greatest(least(value * 100 + 100 + b * 20, 255D), 0D) AS value")
     images = pixels.select("image_id").distinct().selectExpr("image_id", "8 AS height", "8 AS width")
     cells = pixels.where("band = 0").selectExpr("image_id", "'fill' AS layer", "i", "j", "value")
-    out = P.predict_patches(pixels, cells, images, _echo, 4, 2)
-    return out.select("image_id", "i", "j", F.round("di", 6).alias("di"), F.round("fill", 6).alias("fill"))
+    out = P.predict_patches(pixels, cells, images, _echo_apart, 4, 2)
+    return out.select("image_id", "i", "j", *[F.round(n, 6).alias(n) for n in ("di", "dj", "bg", "fill", "edge", "vertex")])
+
+
+def _push(images, maps):
+    """Every image shows its label (times 20) everywhere; the model moves by it."""
+    label = np.rint((images.mean(axis=(1, 2, 3)) + 1) / 2 * 255 / 20)
+    size = images.shape[1] - 2
+    field = np.stack([0.25 * (label % 2), -0.125 * (label % 3)], axis=-1)[:, None, None, :] * np.ones((1, size, size, 1))
+    return field, np.zeros((len(images), size, size, 4))
+
+
+@register(
+    "model_chain",
+    with_views(
+        """SELECT image_id, CAST(0 AS BIGINT) AS poly_id, CAST(k.k AS INT) AS k, 1.0::DOUBLE + label % 2 + 3 * k.a + 6 * (label % 2) AS i, 1.0::DOUBLE + label % 3 + 2 * k.b - 3 * (label % 3) AS j
+        FROM (SELECT DISTINCT image_id, band AS label FROM cells) CROSS JOIN (VALUES (0, 0, 0), (1, 0, 1), (2, 1, 1), (3, 1, 0)) AS k(k, a, b)""",
+        "cells",
+    ),
+)
+def model_chain(spark, sf):
+    """Two levels of a user's images with a model: drawn, predicted, moved; what the second level draws is what the first has moved."""
+    c = X.cells(spark, sf)
+    looks = c.select("image_id", F.col("band").alias("label")).distinct()
+    images = looks.selectExpr("image_id", "8 AS height", "8 AS width", "1.0D AS pixelsize")
+    r0, c0 = 1 + F.col("label") % 2, 1 + F.col("label") % 3
+    corners = [rings.point(r.cast("double"), q.cast("double")) for r, q in ((r0, c0), (r0, c0 + 2), (r0 + 3, c0 + 2), (r0 + 3, c0))]
+    polygons = looks.select("image_id", F.lit(0).cast("long").alias("poly_id"), F.array(*corners).alias("ring"))
+    bands = F.explode(F.array(*[F.lit(n) for n in range(3)]))
+
+    def level_pixels(ds_fac):
+        shown = c.where(f"i < {8 // ds_fac} AND j < {8 // ds_fac}").withColumn("b", bands)
+        return shown.selectExpr("image_id", "b AS band", "i", "j", "band * 20D AS value")
+
+    out = A.predict_and_align(polygons, images, level_pixels, lambda f: _push, (2, 1), 1.0, 4, 2, 4.0)
+    return G.explode_ring(out.select(*IDS, "ring"))
+
+
+@register(
+    "user_image_pixels",
+    with_views(
+        """SELECT image_id, CAST(band AS INT) AS band, i, j, round(CASE WHEN s > 0 THEN greatest(least((v - (m - 3 * s)) / (6 * s) * 255, 255), 0) END, 6) AS value FROM (
+          SELECT *, avg(v) OVER (PARTITION BY image_id, band) AS m, stddev_pop(v) OVER (PARTITION BY image_id, band) AS s FROM (SELECT *, value * 40 + 100 AS v FROM cells))""",
+        "cells",
+    ),
+)
+def user_image_pixels(spark, sf):
+    """The stretched image that the model of a user's image sees."""
+    pixels = X.cells(spark, sf).withColumn("value", F.col("value") * 40 + 100)
+    stretched, _, _ = A.align_user_image(pixels, X.predicted(spark, sf).select(*IDS, "ring"), X.images(spark, sf), {}, **SETTINGS)
+    return stretched.select("image_id", "band", "i", "j", F.round("value", 6).alias("value"))
 
 
 @register(

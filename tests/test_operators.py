@@ -390,6 +390,20 @@ def test_fill_matches_point_in_polygon(spark):
         assert found.get(n, set()) == {(i, j) for i in range(-1, 22) for j in range(-1, 22) if inside((i, j), shape)}
 
 
+def test_runs_give_each_cell_once(spark):
+    draw = random.Random(8)
+    shapes = [[(float(draw.randrange(-3, 25)), float(draw.randrange(-3, 25))) for _ in range(3)] for _ in range(40)]
+    shapes += [[(5.0, 3.0), (5.0, 9.0), (9.0, 9.0)]] * 5
+    df = spark.createDataFrame([(n % 2, n, s) for n, s in enumerate(shapes)], "image_id long, poly_id long, ring array<struct<i:double,j:double>>")
+    found = [(r.image_id, r.layer, r.i, r.j) for r in R.rasterize(df, 20, 18).collect()]
+    keyed = df.select("image_id", "ring")
+    fill = R.fill_cells(keyed).select("image_id", F.lit("fill").alias("layer"), "i", "j")
+    edge = R.line_cells(R.drawn_edges(keyed), 3).select("image_id", F.lit("edge").alias("layer"), "i", "j")
+    want = {tuple(r) for r in fill.union(edge).collect()} | {(n % 2, "vertex", int(i), int(j)) for n, s in enumerate(shapes) for i, j in s}
+    want = {x for x in want if 0 <= x[2] < 20 and 0 <= x[3] < 18}
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_quarter_turn(spark):
     cells = spark.createDataFrame([(0, 0, 1, 5.0), (0, 2, 2, 7.0)], "image_id BIGINT, i INT, j INT, value double")
     for nearest in (True, False):
