@@ -10,10 +10,12 @@ before the shuffle. Counts come back the same way: totals of identity pairs and
 vectors of vocabulary length, which are broadcast; of the irregular pairs those with more than 1/`HOT` of all links are
 fewer than `HOT` and are broadcast too, so no key of the join of the others holds more than that share of the links.
 
-Both tokenizers are run on the words of a text, each distinct word of a task once. A single space
-or line feed between two characters that are no white space begins a new token in both: in A because its pattern takes a
-space together with what follows and a line feed alone, in B because no piece goes on with a space after another character
-or holds a line feed. Tokenizers for which that does not hold (checked when they are loaded) are given whole texts.
+Both tokenizers are run on the words of a text, each distinct word of a task once, and what a word gives (its groups as text,
+its counts and ids) is added up for each text. Words end where a new token begins in both tokenizers whatever stands around:
+before a single space or line feed between two characters that are no white space, and between a letter and a mark. A's pattern
+takes a space together with what follows, a line feed alone, and no letter with a mark; no piece of B goes on with a space,
+holds a line feed or has a mark behind a letter. Tokenizers for which that does not hold (checked when they are loaded)
+are given whole texts.
 
 Cases: texts that are null or empty, or that either tokenizer does not give back byte for byte, have no tokens: zeros and an
 empty string. Repeated rows and ids stay rows of their own. An empty table gives an empty result. Very long texts are cut
@@ -36,17 +38,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringfield.llm.text import fresh, rows_of, stored
+from ringfield.llm.text import fresh, repeat_lengths, rows_of, stored
 
 A_PATH = "/opt/tokenizers/byte_bpe_50k.json"
 B_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Irregular pairs above this share (one in `HOT`) of all links are broadcast, fewer than `HOT` of them.
 HOT = 1 << 16
-#: Words a task remembers, and the longest one remembered.
-WORDS, LONGEST = 200_000, 200
+#: Distinct words a task remembers before it begins anew.
+WORDS = 200_000
 # The published pattern of byte-level BPE, a fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-WORD = re.compile(r"(?<=\S)(?=[ \n]\S)")
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+WORD = re.compile(rf"(?<=\S)(?=[ \n]\S)|(?<={LETTER})(?=[^\w\s])")
 RESULT = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups")
 
 
@@ -86,9 +89,11 @@ class Tokenizers:
         rules = json.loads(self.a.to_str())
         form = rules["pre_tokenizer"] or {}
         plain_bytes = rules["normalizer"] is None and form.get("type") == "ByteLevel" and form.get("use_regex") is True
+        ordinary = [pieces[i] for i in plain if not self.b.is_byte(i)]
+        across = re.compile(rf"[^▁]▁|\n|{LETTER}[^\w\s▁]")
         self.by_words = (
             plain_bytes and not form.get("add_prefix_space") and self.b.normalize(" a  b\tÅ ﬁ ") == "▁▁a▁▁b\tÅ▁ﬁ▁"
-            and not any("▁" in p.lstrip("▁") or "\n" in p for p in pieces)
+            and not any(across.search(p) for p in ordinary) and len(self.b.encode("a")) == 1
         )
         # Where the merges stand in the order of their ids, ranks say the same, and short words are encoded faster by them.
         added = {t["id"] for t in rules["added_tokens"]}
@@ -102,12 +107,13 @@ class Tokenizers:
             self.ranked = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, words: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both. B puts a space before what it is given: it stands for the one a word begins with, else it goes."""
+        """Ids of both. B puts a space before what it is given: that is the one a word begins with; before other words a
+        letter is put, whose piece goes."""
         if self.ranked is not None:
             one = [self.ranked.encode_ordinary(w) for w in words]
         else:
             one = [e.ids for e in self.a.encode_batch(words, add_special_tokens=False)]
-        two = self.b.encode([w[1:] if w[0] == " " else w for w in words], num_threads=1)
+        two = self.b.encode([w[1:] if w[0] == " " else "a" + w for w in words], num_threads=1)
         return [(a, b if w[0] == " " else b[1:]) for w, a, b in zip(words, one, two, strict=True)]
 
 
@@ -153,38 +159,70 @@ def hashed(groups: str) -> str:
     return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
 
 
+class Known:
+    """What the words of a task have given so far, by number of the word."""
+
+    def __init__(self):
+        self.at: dict[str, int] = {}
+        self.said: list[str] = []
+        # n_a, n_b, n_groups, whether the bytes do not come back, how many identity tokens and other links.
+        self.counts: list[tuple[int, ...]] = []
+        self.same: list[int] = []
+        self.other: list[int] = []
+
+    def add(self, words: list[str], both: Tokenizers) -> None:
+        for word, found in zip(words, aligned(words, both), strict=True):
+            said, n_a, n_b, n, same, other = found or ("", 0, 0, 0, (), ())
+            self.at[word] = len(self.said)
+            self.said.append(said)
+            self.counts.append((n_a, n_b, n, found is None, len(same), len(other)))
+            self.same += same
+            self.other += other
+
+
+def counted(numbers: np.ndarray, text: np.ndarray, texts: int, lengths: np.ndarray, flat: list[int]) -> list[pa.Array]:
+    """For each text the distinct ids that its words (`numbers`) hold, and how often: two lists a text."""
+    own, starts = lengths[numbers], (np.cumsum(lengths) - lengths)[numbers]
+    ids = np.array(flat, np.int64)[np.repeat(starts, own) + repeat_lengths(own)]
+    size = int(ids.max(initial=0)) + 1
+    found, times = np.unique(np.repeat(text, own) * size + ids, return_counts=True)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(found // size, minlength=texts))]).astype(np.int32)
+    return [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (found % size, times)]
+
+
 def read_groups(docs: DataFrame, text_col: str, a_path: str, b_path: str, digest: bool) -> DataFrame:
     """Each row without its text, with its groups and with counted identity tokens and counted keys of other links."""
     kept = [c for c in docs.columns if c.lower() not in {text_col.lower(), *RESULT}]
     row, same, same_n, other, other_n = fresh(docs, "row", "same", "same_n", "other", "other_n")
     made = ["n_a", "n_b", "n_groups", "groups", same, same_n, other, other_n]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.list_(pa.int64())] * 4]
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept]
     types = ["bigint", "bigint", "bigint", "string", *["array<bigint>"] * 4]
     schema = ", ".join(fields + [f"`{n}` {t}" for n, t in zip(made, types, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, known = None, {}
+        both, known = None, Known()
         for part in rows_of(batches):
             both = both or Tokenizers(a_path, b_path)
-            if len(known) > WORDS:
-                known = {}
+            if len(known.at) > WORDS:
+                known = Known()
             whole = [" " + t if t else "" for t in part.column(len(kept)).to_pylist()]
             texts = [WORD.split(t) if t and both.by_words else [t] if t else [] for t in whole]
-            new = list(set(chain.from_iterable(texts)) - known.keys())
-            known.update(zip(new, aligned(new, both), strict=True))
-            rows = []
-            for words in texts:
-                found = list(map(known.__getitem__, words))
-                groups, n_a, n_b, n, tokens, links = zip(*found) if found and None not in found else [()] * 6
-                said = ";".join(groups)
-                counted = [np.unique(np.fromiter(chain.from_iterable(x), np.int64), return_counts=True) for x in (tokens, links)]
-                rows.append((sum(n_a), sum(n_b), sum(n), hashed(said) if digest else said, *counted[0], *counted[1]))
-            # Long words are unlikely to come again.
-            for word in new:
-                if len(word) > LONGEST:
-                    del known[word]
-            columns = [pa.array([r[n] for r in rows], kind) for n, kind in enumerate(kinds)]
+            words = list(chain.from_iterable(texts))
+            known.add(list(set(words) - known.at.keys()), both)
+            numbers = np.fromiter(map(known.at.__getitem__, words), np.int64, len(words))
+            sizes = np.array([len(t) for t in texts], np.int64)
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            counts = np.array(known.counts, np.int64).reshape(-1, 6)
+            sums = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(counts[numbers, :4], axis=0)])
+            sums = sums[ends[1:]] - sums[ends[:-1]]
+            whole_back = sums[:, 3] == 0
+            sums[~whole_back] = 0
+            text = np.repeat(np.arange(len(texts)), sizes)
+            good = whole_back[text]
+            said = [";".join(map(known.said.__getitem__, numbers[a:b].tolist())) if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], whole_back)]
+            columns = [*(pa.array(sums[:, n]) for n in range(3)), pa.array(list(map(hashed, said)) if digest else said, pa.string())]
+            for n, flat in ((4, known.same), (5, known.other)):
+                columns += counted(numbers[good], text[good], len(texts), counts[:, n], flat)
             yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *columns], [*kept, *made])
 
     return docs.select(*kept, text_col).mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id())
