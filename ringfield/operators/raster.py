@@ -398,8 +398,12 @@ def photometric(pixels: DataFrame, params: DataFrame, low: float = -1.0, high: f
     contrasted = bright.join(means, ["image_id", "band"]).withColumn(
         "value", (F.col("value") - F.col("_mean")) * F.col("contrast") + F.col("_mean")
     )
-    peaks = contrasted.groupBy("image_id", "i", "j").agg(F.max("value").alias("_top"), F.min("value").alias("_low"))
-    joined = contrasted.join(shuffled(peaks), ["image_id", "i", "j"])
+    # The bands of a cell meet in one row: one shuffle, no join.
+    cell = contrasted.groupBy("image_id", "i", "j").agg(
+        F.max("value").alias("_top"), F.min("value").alias("_low"), F.first("saturation").alias("saturation"),
+        F.collect_list(F.struct("band", "value")).alias("_b"),
+    )
+    joined = cell.select("image_id", "i", "j", "_top", "_low", "saturation", F.explode("_b").alias("_b")).select("*", "_b.band", "_b.value")
     strength = F.when(F.col("_top") > 0, (F.col("_top") - F.col("_low")) / F.nullif("_top", F.lit(0.0))).otherwise(0.0)
     factor = F.least(F.col("saturation"), 1.0 / F.nullif(strength, F.lit(0.0)))
     value = F.col("_top") - (F.col("_top") - F.col("value")) * F.coalesce(factor, F.lit(1.0))
@@ -410,8 +414,12 @@ def photometric(pixels: DataFrame, params: DataFrame, low: float = -1.0, high: f
 
 def apply_alpha(pixels: DataFrame, images: DataFrame, cities: list[str]) -> DataFrame:
     """Drop the fourth band; in the listed cities multiply the others by it first (bytes, half to even)."""
-    alpha = pixels.where(F.col("band") == 3).select("image_id", "i", "j", F.col("value").alias("_alpha"))
-    colour = pixels.where(F.col("band") < 3).join(shuffled(alpha), ["image_id", "i", "j"], "left")
+    rest = [c for c in pixels.columns if c not in ("image_id", "i", "j")]
+    # The bands of a cell meet in one row: one shuffle, no self join.
+    cell = pixels.groupBy("image_id", "i", "j").agg(
+        F.max(F.when(F.col("band") == 3, F.col("value"))).alias("_alpha"), F.collect_list(F.struct(*rest)).alias("_b")
+    )
+    colour = cell.select("image_id", "i", "j", "_alpha", F.explode("_b").alias("_b")).select("image_id", "i", "j", "_alpha", "_b.*").where(F.col("band") < 3)
     named = colour.join(images.select("image_id", "city"), "image_id")
     masked = half_even(F.col("value") / 255.0 * (F.col("_alpha") / 255.0) * 255.0)
     use = F.col("city").isin(cities) & F.col("_alpha").isNotNull()
