@@ -12,9 +12,10 @@ but, in return, looks within the first segments also for sets that differ there
 covers one difference more, and every set indexes its one-deletion neighbourhood of these). A set with more of them looks
 for its empty segments as well, among those indexed by all sets.
 
-Sets are verified exactly on their shingle hashes (64 bits). Equal sets are one class and stand for one another. Within
-the sets of one index entry not all pairs are made at once: all are compared with the first; components are joined; then
-only pairs of sets that are still in different components are left to compare. No entry is cut and no partner dropped.
+Sets are verified exactly on their shingle hashes (64 bits), which are made again from the texts where they are needed rather
+than stored. Equal sets are one class and stand for one another. Within the sets of one index entry not all pairs are made at
+once: all are compared with the first; components are joined; then only pairs of sets that are still in different
+components are left to compare. No entry is cut and no partner dropped.
 
 Cases: null and empty texts (and such without words) have size 0 and are linked with nothing; repeated rows with the same
 id count as one document and are returned as often as they stand; null ids are documents of their own without links to
@@ -105,96 +106,168 @@ def entries(hashes: np.ndarray, over: int, under: int) -> Iterator[tuple[int, bo
                 yield int(mixed(np.array([sums[k] - marks[at] + base[k]], np.uint64))[0]), True, True
 
 
-def sets(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """(doc_id, n_shingles, cls, shingles): `cls` is 128 bits of the set, empty for empty sets."""
-    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+def classed(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, cls) from (doc_id, text): `cls` is 128 bits of the set, null for empty sets."""
 
     def work(part: pa.RecordBatch) -> list[pa.Array]:
         found = [shingles(t, n) for t in part.column(1).to_pylist()]
         return [
             pa.array([len(s) for s in found], pa.int64()),
             pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in found], pa.binary()),
-            pa.array([s.tobytes() if len(s) else None for s in found], pa.binary()),
         ]
 
-    return added(given, ["n_shingles", "cls", "shingles"], ["bigint", "binary", "binary"], work).drop("text")
+    return added(docs, ["n_shingles", "cls"], ["bigint", "binary"], work).drop("text")
+
+
+#: What an entry does, in the order in which the entries of a key are read: it looks for others; it is a one-deletion neighbour
+#: (and looks for others); it is only found.
+ASKS, DELETED, FOUND = 0, 1, 2
 
 
-def indexed(reps: DataFrame, over: int, under: int) -> DataFrame:
-    """(key, deleted, asks, id) from (id, shingles)."""
+def indexed(texts: DataFrame, n: int, over: int, under: int) -> DataFrame:
+    """(key, kind, id) from (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, 1 << 20):
             ids: list[int] = []
-            rows: list[tuple[int, bool, bool]] = []
-            for i, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                mine = list(entries(np.frombuffer(raw, np.uint64), over, under))
-                rows += mine
-                ids += [i] * len(mine)
-            keys = np.array([r[0] for r in rows], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.bool_()), pa.array(ids, pa.int64())],
-                ["key", "deleted", "asks", "id"],
-            )
-
-    return reps.select("id", "shingles").mapInArrow(run, "key bigint, deleted boolean, asks boolean, id bigint")
-
-
-def verified(pairs: DataFrame, reps: DataFrame, over: int, under: int) -> DataFrame:
-    """Pairs (a, b) that are linked; sizes are compared before any shingle is moved."""
-    size = reps.select("id", "n")
-    near = pairs.distinct().join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b")
-    near = near.where(F.least("na", "nb") * under >= F.greatest("na", "nb") * over).select("a", "b")
-    full = near.join(reps.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    full = full.join(reps.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
+            keys: list[int] = []
+            kinds: list[int] = []
+            for i, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                hashes = shingles(text, n)
+                if not len(hashes):
+                    continue
+                for key, deleted, asks in entries(hashes, over, under):
+                    ids.append(i)
+                    keys.append(key)
+                    kinds.append(DELETED if deleted else ASKS if asks else FOUND)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(kinds, pa.int8()), pa.array(ids, pa.int64())], ["key", "kind", "id"])
+
+    return texts.mapInArrow(run, "key bigint, kind tinyint, id bigint")
+
+
+def shared_entries(index: DataFrame) -> DataFrame:
+    """(key, head, head_kind, id, kind): for keys where somebody asks, every entry but the first, with the first.
+
+    The index is shuffled once. In a partition the entries of a key come in the order of their kind; only the first one of a key is
+    remembered, so a key of any size streams by. A key whose first entry is only to be found has nobody who asks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, kind, ids = (batch.column(n).to_numpy() for n in range(3))
+            new = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
+            at = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            carried = at < 0
+            head, head_kind = ids[at], kind[at]
+            if carried.any():
+                head, head_kind = np.where(carried, last[1], head), np.where(carried, last[2], head_kind)
+            last = key[-1], head[-1], head_kind[-1]
+            kept = ~new & (head_kind != FOUND) & (ids != head)
+            columns = [key[kept], head[kept], head_kind[kept].astype(np.int8), ids[kept], kind[kept]]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "head", "head_kind", "id", "kind"])
+
+    dealt = index.repartition("key").sortWithinPartitions("key", "kind", "id")
+    return dealt.mapInArrow(run, "key bigint, head bigint, head_kind tinyint, id bigint, kind tinyint")
+
+
+#: Sets are dealt into groups of about this many; the pairs of two groups are compared together.
+GROUP = 256
+
+
+def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, over: int, under: int) -> DataFrame:
+    """Pairs (a, b) that are linked; sizes are compared before any text is read again.
+
+    A set travels to the cells (two groups of sets) in which it has pairs, not to every pair; a cell holds the sets of two groups.
+    """
+    size = sizes.groupBy("id").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    near = pairs.distinct().join(size.toDF("a", "la", "ha"), "a").join(size.toDF("b", "lb", "hb"), "b")
+    # An id with several texts may be linked through any of them.
+    fits = F.least("ha", "hb") * under >= F.greatest("la", "lb") * over
+    near = stored(near.where(fits).select("a", "b"), "near-pairs")
+    named = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    groups = -(-max(1, named.count()) // GROUP)
+
+    def group(c: str):
+        return F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.lit(groups)).cast("int")
+
+    cells = near.select(group("a").alias("ga"), group("b").alias("gb"), "a", "b")
+    visits = cells.select("ga", "gb", F.col("a").alias("id")).union(cells.select("ga", "gb", "b")).distinct()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows_of(batches, 1 << 20):
+            found = [shingles(t, n).tobytes() for t in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
+
+    asked = texts.join(named, "id", "left_semi").select("id", "text").mapInArrow(read, "id bigint, shingles binary")
+    sets = visits.join(asked, "id").select("ga", "gb", F.lit(0).alias("pair"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    both = sets.unionByName(cells.select("ga", "gb", F.lit(1).alias("pair"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
+    dealt = both.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "pair")
+
+    def linked(p: np.ndarray, q: np.ndarray) -> bool:
+        if len(p) > len(q):
+            p, q = q, p
+        if len(p) * under < len(q) * over:
+            return False
+        at = np.searchsorted(q, p)
+        common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+        return under * common >= over * (len(p) + len(q) - common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held = None, {}
         for part in rows_of(batches):
-            a, b = part.column(0).to_pylist(), part.column(1).to_pylist()
-            ok = []
-            for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                ok.append(under * both >= over * (len(p) + len(q) - both))
-            kept = [i for i, good in enumerate(ok) if good]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
+            out = []
+            for ga, gb, pair, a, b, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (ga, gb) != cell:
+                    cell, held = (ga, gb), {}
+                if not pair:
+                    mine = held.setdefault(a, [])
+                    if raw and not any(raw == other.tobytes() for other in mine):
+                        mine.append(np.frombuffer(raw, np.uint64))
+                elif any(linked(p, q) for p in held.get(a, ()) for q in held.get(b, ())):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    return full.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return dealt.mapInArrow(run, "a bigint, b bigint")
 
 
 def components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = N, over: int = OVER, under: int = UNDER
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs`; ids are whole numbers."""
-    found = stored(sets(docs, id_col, text_col, n), "shingle-sets")
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    found = stored(classed(given, n), "shingle-classes")
     members = found.where("cls is not null and doc_id is not null")
-    reps = stored(
-        members.groupBy("cls").agg(F.min("doc_id").alias("id"), F.max("doc_id").alias("other"), F.first("n_shingles").alias("n"), F.first("shingles").alias("shingles")),
-        "shingle-classes",
-    )
-    # An id with several texts is in several classes; such classes are one component through it. Classes get their own
-    # numbers only through their smallest id, so a shared id joins them of itself.
-    sig = indexed(reps, over, under)
-    # Only keys that two sets share are kept.
-    counted = sig.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min("deleted").alias("all_deleted"), F.max("asks").alias("asked"))
-    shared = counted.where("lo < hi and not all_deleted and asked").select("key")
-    rows = stored(sig.join(shared, "key").distinct(), "shingle-index")
-    first = rows.groupBy("key").agg(F.min(F.struct("deleted", ~F.col("asks"), "id")).alias("head"))
-    near = rows.join(first.select("key", F.col("head.id").alias("a"), F.col("head.deleted").alias("ad"), (~F.col("head.col2")).alias("aa")), "key")
-    near = near.where((F.col("id") != F.col("a")) & (~F.col("deleted") | ~F.col("ad")) & (F.col("asks") | F.col("aa")))
-    links = stored(verified(near.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")), reps, over, under), "links")
-    nodes = reps.select("id").distinct()
-    label = stored(connected_components(nodes, links, []), "labels")
-    # What is left: sets of one entry in different components, the head's pairs apart.
-    named = rows.join(first.select("key", F.col("head.id").alias("head")), "key").where("id != head").join(label, "id")
-    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    rest = stored(named.join(open_, "key").select("key", "id", "deleted", "asks", "label"), "open-entries")
-    other = rest.select("key", *[F.col(c).alias(c + "_") for c in ("id", "deleted", "asks", "label")])
-    cross = rest.join(other, "key").where("id < id_ and label != label_ and not (deleted and deleted_) and (asks or asks_)")
-    more = stored(verified(cross.select(F.col("id").alias("a"), F.col("id_").alias("b")), reps, over, under), "more-links")
-    if not more.isEmpty():
-        label = stored(connected_components(nodes, links.unionByName(more).distinct(), []), "labels")
-    by_class = reps.select("cls", "id").join(label, "id").select(F.col("cls").alias("c_"), "label")
+    reps = stored(members.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")), "class-heads")
+    # A class is found by the texts of its smallest id. An id with several texts is in several classes; its entries are those of
+    # all of them, so a shared id joins them of itself.
+    ids = reps.select("id").distinct()
+    texts = given.select(F.col("doc_id").alias("id"), "text")
+    wanted = texts.join(ids, "id", "left_semi")
+    sizes = members.join(ids, members["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
+    rows = stored(shared_entries(indexed(wanted, n, over, under)), "shared-entries")
+    # Two one-deletion neighbours prove nothing.
+    near = rows.where((F.col("head_kind") != DELETED) | (F.col("kind") != DELETED))
+    near = near.select(F.least("head", "id").alias("a"), F.greatest("head", "id").alias("b"))
+    links = stored(verified(near, sizes, wanted, n, over, under), "links")
+    label = stored(connected_components(ids, links, []), "labels")
+    # What is left: entries of one key in different components, the first one's pairs apart.
+    named = rows.select("key", "id", "kind").distinct().join(label, "id")
+    some = [F.min(F.col("kind") == k).alias(f"all_{k}") for k in (DELETED, FOUND)]
+    open_ = named.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), *some)
+    open_ = open_.where(f"x < y and not all_{DELETED} and not all_{FOUND}").select("key")
+    rest = stored(named.join(open_, "key").select("key", "id", "kind", "label"), "open-entries")
+    if not rest.isEmpty():
+        other = rest.select("key", *[F.col(c).alias(c + "_") for c in ("id", "kind", "label")])
+        useful = f"id < id_ and label != label_ and not (kind = {DELETED} and kind_ = {DELETED}) and not (kind = {FOUND} and kind_ = {FOUND})"
+        cross = rest.join(other, "key").where(useful).select(F.col("id").alias("a"), F.col("id_").alias("b"))
+        more = stored(verified(cross, sizes, wanted, n, over, under), "more-links")
+        if not more.isEmpty():
+            label = stored(connected_components(ids, links.unionByName(more).distinct(), []), "labels")
+    by_class = reps.select("cls", "id").join(label, "id").groupBy("cls").agg(F.min("label").alias("label"))
+    by_class = by_class.select(F.col("cls").alias("c_"), "label")
     out = found.join(by_class, (F.col("cls") == F.col("c_")) & F.col("doc_id").isNotNull(), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"))
 
