@@ -9,8 +9,8 @@ its list of cells. In a partition a block's entries come first, queries stream p
 double precision, summed in a fixed order. The number of centroids grows with the root of the table up to `MOST` a half,
 so the broadcast index (cell sizes) is bounded.
 
-Cases: vectors that are null, zero, of another length than the first half of them asks for, or hold null or non-finite
-components take no part; fewer candidates than k: all of them; ties go to the smaller id; repeated ids are entries of
+Cases: vectors that are null, zero, of another length than the most frequent one (the longer of two), or hold null or
+non-finite components take no part; other columns are ignored; fewer candidates than k: all of them; ties go to the smaller id; repeated ids are entries of
 their own and only a query's own id is left out; an empty table gives an empty result.
 """
 
@@ -92,6 +92,10 @@ def search(table: DataFrame, queries, id_col: str = "vec_id", vector_col: str =
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(raw, pa.binary())], ["vec_id", "v"])
 
     rows = stored(table.select(F.col(id_col).cast("long"), vector_col).mapInArrow(clean, "vec_id bigint, v binary"), "vectors")
+    length = F.expr("(octet_length(v) - 1) DIV IF(substring(v, 1, 1) = X'66', 4, 8)")
+    common = rows.groupBy(length.alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    if common is not None:
+        rows = rows.where(length == common[0])
     top = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     entries = top.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     entries = stored(entries.withColumn("e", F.col("ids")[0]), "vector-entries")

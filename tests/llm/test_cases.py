@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ringfield.llm import decontaminate, jaccard, licenses, linededup, mixing, pii, suffixtree, urls
+from ringfield.llm import ann, decontaminate, jaccard, licenses, linededup, mixing, pii, quality, suffixtree, urls
 
 SHAPE = "doc_id long, text string, source string, lang string"
 # Columns that the operators use or make themselves.
@@ -43,3 +43,18 @@ def test_filters_keep_columns_and_clean_rows(spark, odd):
     for out in (decontaminate.decontaminate(odd, bench), decontaminate.decontaminate(odd, bench, mode="span"), linededup.dedup(odd), jaccard.one_of_each(odd)):
         assert out.columns == odd.columns
         assert sorted(map(str, out.collect())) == sorted(map(str, odd.collect()))
+
+
+def test_vectors_of_another_length_take_no_part(spark):
+    rows = [(i, [float(i % 7) + 0.5, 1.0, float(i % 3)]) for i in range(60)] + [(100, [1.0] * 5), (20, [2.0]), (120, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("mine"))
+    found = ann.search(table, F.col("vec_id") % 20 == 0).collect()
+    assert {r.query_id for r in found} == {0, 20, 40}
+    assert len(found) == 60 and all(r.vec_id < 60 for r in found)
+    assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_score_column_is_replaced(odd):
+    weights = quality.train(odd.withColumn("y", F.lit(1)), "text", "y", "doc_id")
+    out = quality.score(odd, weights)
+    assert out.columns.count("score") == 1 and out.count() == 6 and all(0 <= r.score <= 1 for r in out.select("score").collect())
