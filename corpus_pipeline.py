@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
 stage's documents. All but the last return the columns of `documents`.
+
+Cases, for every stage: an empty table stays empty; null and empty texts and null ids are rows like others (without words they are
+neither copies nor contaminated); repeated rows are judged each, only the near copies' stage leaves one of them; texts of any
+length are read whole; further columns are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -14,7 +18,7 @@ from ringfield.llm.text import stored, table
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier does not reject."""
+    """Documents that the classifier does not reject: those scoring the threshold or more. Without labels all score 0.5 and go."""
     rows = quality.labelled_rows(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
     scored = quality.score(docs, quality.train(rows, "text", "label_", "doc_id"), out="quality_score_")
     return scored.where(F.col("quality_score_") >= quality.THRESHOLD).drop("quality_score_")
