@@ -1,11 +1,11 @@
 """Hard negatives by one-bit codes: exact results, most pairs judged by counts of equal bits.
 
-Vectors hold integers. Each is turned by one random rotation and coded by the signs of its components: a code vector of
-+-1/sqrt(d), stored with its alignment (the inner product of vector and code vector). What the code leaves over is coded
-again in the same way, `LEVELS` times, and the length of the last rest is stored. An anchor's rotated components are rounded
-to `BITS` bits, so its inner products with code vectors are sums of popcounts. By Cauchy and Schwarz the true
-score lies within (rest * |anchor|) + (coded part * rounding error) of the estimate. Rows whose interval cannot reach the
-wanted ones are left; the others are scored with the integers, which alone decide.
+Vectors hold integers. Each is turned by a random rotation and coded by the signs of its components: a code vector of
++-1/sqrt(d), stored with its alignment (the inner product of vector and code vector). What the code leaves over is turned
+and coded again in the same way, `LEVELS` times, and the length of the last rest is stored. For each level an anchor's turned
+components are rounded to `BITS` bits, so its inner products with code vectors are sums of popcounts. By Cauchy and Schwarz the
+true score lies within rest * |anchor| + sum of (alignment * rounding error) of the estimate. Rows whose interval does not reach
+what the k with the highest lower bounds truly score are left; the others are scored with the integers, which alone decide.
 
 The rows are dealt into blocks by row number. An anchor travels to each block, meets its rows there and leaves with its best
 few, so the anchors (a stated set) meet all rows in blocks and no task holds more than a block and a batch of anchors. Two
@@ -33,16 +33,17 @@ from ringfield.llm.text import rows_of, stored
 POSITIVES, NEGATIVES = 5, 10
 #: A negative's score lies between these percentages of the positive's.
 LOW, HIGH = 30, 90
-LEVELS, BITS, BLOCK = 4, 6, 8192
+LEVELS, BITS, BLOCK = 7, 8, 8192
 SEED = 7
 BOUND = float(2**55)
 RESULT = "anchor_id long, positive_id long, rank int, negative_id long, positive_score long, negative_score long"
 
 
-def rotation(size: int) -> np.ndarray:
-    """An orthogonal matrix, the same on every worker."""
-    q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, size)))
-    return q * np.sign(np.diag(r))
+def rotations(size: int, levels: int) -> list[np.ndarray]:
+    """Orthogonal matrices, the same on every worker."""
+    draw = np.random.default_rng(SEED)
+    found = [np.linalg.qr(draw.standard_normal((size, size))) for _ in range(levels)]
+    return [q * np.sign(np.diag(r)) for q, r in found]
 
 
 def padded(ints: np.ndarray) -> np.ndarray:
@@ -51,52 +52,53 @@ def padded(ints: np.ndarray) -> np.ndarray:
     return np.pad(ints.astype(np.float64), ((0, 0), (0, more)))
 
 
-def coded(ints: np.ndarray, turn: np.ndarray, levels: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (row, level, word) and, for each row, its alignments, the length of the coded part and that of the rest."""
-    whole = padded(ints) @ turn
-    rest, unit = whole.copy(), 1 / np.sqrt(whole.shape[1])
+def coded(ints: np.ndarray, turns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes (row, level, word) and, for each row, its alignments and the length of the last rest."""
+    rest = padded(ints)
+    unit = 1 / np.sqrt(rest.shape[1])
     codes, stored_with = [], []
-    for _ in range(levels):
+    for turn in turns:
+        rest = rest @ turn
         signs = rest >= 0
         along = np.abs(rest).sum(1) * unit
         rest = rest - np.where(signs, unit, -unit) * along[:, None]
         codes.append(np.packbits(signs, axis=1, bitorder="little").view(np.uint64))
         stored_with.append(along)
-    lengths = [np.linalg.norm(whole - rest, axis=1), np.linalg.norm(rest, axis=1)]
-    return np.stack(codes, 1), np.stack([*stored_with, *lengths], 1)
+    return np.stack(codes, 1), np.stack([*stored_with, np.linalg.norm(rest, axis=1)], 1)
 
 
 class Block:
     """Rows of one block, ordered by label, with their codes by level and word."""
 
-    def __init__(self, ids: np.ndarray, labels: np.ndarray, ints: np.ndarray, codes: np.ndarray, held: np.ndarray, turn: np.ndarray):
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, ints: np.ndarray, codes: np.ndarray, held: np.ndarray, turns: list[np.ndarray]):
         order = np.argsort(labels, kind="stable")
         self.ids, self.labels, self.ints = ids[order], labels[order], ints[order]
         self.codes = np.ascontiguousarray(codes[order].transpose(1, 2, 0))
-        self.along = np.ascontiguousarray(held[order, :-2].T)
-        self.part, self.rest = held[order, -2], held[order, -1]
+        self.along, self.rest = np.ascontiguousarray(held[order, :-1].T), held[order, -1]
         self.ones = np.bitwise_count(self.codes).sum(1, dtype=np.int64)
-        self.turn, self.size = turn, turn.shape[0]
+        self.turns, self.size = turns, turns[0].shape[0]
 
     def interval(self, anchor: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Least and greatest possible inner product of the anchor with each row."""
-        q = (padded(anchor[None]) @ self.turn)[0]
-        least, step = q.min(), (q.max() - q.min()) / (2**bits - 1) or 1.0
-        steps = np.rint((q - least) / step).astype(np.int64)
-        rounded = least + step * steps
-        off, length = np.linalg.norm(q - rounded), np.linalg.norm(q)
-        planes = [np.packbits((steps >> j) & 1 == 1, bitorder="little").view(np.uint64) for j in range(bits)]
-        guess = np.zeros(len(self.ids))
+        q = padded(anchor[None])[0]
+        length = np.linalg.norm(q)
+        guess, width = np.zeros(len(self.ids)), self.rest * length
         for level, words in enumerate(self.codes):
+            q = q @ self.turns[level]
+            least, step = q.min(), (q.max() - q.min()) / (2**bits - 1) or 1.0
+            steps = np.rint((q - least) / step).astype(np.int64)
+            rounded = least + step * steps
             met = np.zeros(len(self.ids), np.int64)
-            for j, plane in enumerate(planes):
+            for j in range(bits):
+                plane = np.packbits((steps >> j) & 1 == 1, bitorder="little").view(np.uint64)
                 for word, mask in zip(words, plane, strict=True):
                     met += np.bitwise_count(word & mask).astype(np.int64) << j
             # Sum over set bits of the rounded components, less the sum over the others.
             signed = 2 * (least * self.ones[level] + step * met) - rounded.sum()
             guess += self.along[level] * signed / np.sqrt(self.size)
-        # The last term covers the rounding of doubles.
-        width = self.rest * length + self.part * off + 1e-9 * (1 + self.part + self.rest) * (1 + length)
+            width += self.along[level] * np.linalg.norm(q - rounded)
+        # For the rounding of doubles.
+        width += 1e-9 * (1 + self.along.sum(0) + self.rest) * (1 + length)
         return guess - width, guess + width
 
     def scores(self, at: np.ndarray, anchor: np.ndarray) -> np.ndarray:
@@ -107,8 +109,14 @@ class Block:
         low, high = self.interval(anchor, bits)
         may = (self.labels == label) & (self.ids != anchor_id)
         if may.sum() > k:
-            may &= high >= np.partition(low[may], -k)[-k]
-        return best(self.ids, self.scores, np.flatnonzero(may), anchor, k)
+            may &= high >= self.reached(np.flatnonzero(may), low, anchor, k)
+        at = np.flatnonzero(may)
+        return ordered(self.ids[at], self.scores(at, anchor), k)
+
+    def reached(self, at: np.ndarray, low: np.ndarray, anchor: np.ndarray, k: int) -> int:
+        """A score that k of the rows reach: the least true score of the k with the highest lower bounds."""
+        first = at[np.argpartition(-low[at], k - 1)[:k]]
+        return int(self.scores(first, anchor).min())
 
     def negatives(
         self, anchor_id: int, label: int, anchor: np.ndarray, tops: list[int], k: int, band: tuple[int, int], bits: int
@@ -120,9 +128,9 @@ class Block:
         for top in tops:
             floor, ceiling = band[0] * top, band[1] * top
             may = other & (100 * high >= floor) & (100 * low <= ceiling)
-            sure = low[may & (100 * low >= floor) & (100 * high <= ceiling)]
-            if len(sure) >= k:
-                may &= high >= np.partition(sure, -k)[-k]
+            sure = np.flatnonzero(may & (100 * low >= floor) & (100 * high <= ceiling))
+            if len(sure) > k:
+                may &= high >= self.reached(sure, low, anchor, k)
             wanted |= may
         at = np.flatnonzero(wanted)
         score = self.scores(at, anchor)
@@ -138,10 +146,6 @@ def ordered(ids: np.ndarray, score: np.ndarray, k: int) -> list[tuple[int, int]]
     return list(zip(ids[order].tolist(), score[order].tolist(), strict=True))
 
 
-def best(ids: np.ndarray, scores, at: np.ndarray, anchor: np.ndarray, k: int) -> list[tuple[int, int]]:
-    return ordered(ids[at], scores(at, anchor), k)
-
-
 def meet(index: DataFrame, anchors: DataFrame, blocks: int, length: int, levels: int, work, made: str) -> DataFrame:
     """`work(block, anchor row)` for each anchor in each block; it yields rows of the schema `made`.
 
@@ -155,7 +159,7 @@ def meet(index: DataFrame, anchors: DataFrame, blocks: int, length: int, levels:
     columns = [c.split()[0] for c in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, gathered, block, turn = None, [], None, None
+        number, gathered, block, turns = None, [], None, None
         for part in rows_of(batches):
             out = []
             for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
@@ -168,12 +172,12 @@ def meet(index: DataFrame, anchors: DataFrame, blocks: int, length: int, levels:
                 if not gathered:
                     continue
                 if block is None:
-                    turn = rotation(length + -length % 64) if turn is None else turn
+                    turns = turns or rotations(length + -length % 64, levels)
                     ids, labels = (np.array([g[n] for g in gathered], np.int64) for n in (0, 1))
                     ints = np.frombuffer(b"".join(g[2] for g in gathered), np.int32).reshape(len(ids), length)
                     words = np.frombuffer(b"".join(g[3] for g in gathered), np.uint64).reshape(len(ids), levels, -1)
                     parts = np.frombuffer(b"".join(g[4] for g in gathered), np.float64).reshape(len(ids), -1)
-                    block = Block(ids, labels, ints, words, parts, turn)
+                    block = Block(ids, labels, ints, words, parts, turns)
                 out += work(block, key, vec_id, label, np.frombuffer(v, np.int32), tops)
             arrays = [pa.array([o[n] for o in out], pa.int64()) for n in range(len(columns))]
             yield pa.RecordBatch.from_arrays(arrays, columns)
@@ -202,10 +206,10 @@ def mine(
     rows = rows.where(F.size("v") == length)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotation(length + -length % 64)
+        turns = rotations(length + -length % 64, levels)
         for part in rows_of(batches):
             ints = part.column(2).flatten().to_numpy().reshape(-1, length).astype(np.int32)
-            codes, held = coded(ints, turn, levels)
+            codes, held = coded(ints, turns)
             made = [pa.array([x.tobytes() for x in xs], pa.binary()) for xs in (ints, codes, held)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *made], ["vec_id", "label", "v", "codes", "held"])
 
