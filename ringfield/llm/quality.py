@@ -2,13 +2,14 @@
 
 A text becomes a sparse vector: runs of letters, of digits and of other signs are its words. Words (A-Z lower-cased) and
 pairs of neighbours are hashed into `SLOTS` slots, their counts dampened by a logarithm; the shapes of words (capitals,
-digits, signs) and pairs of them have slots of their own. Each part is scaled to length one. The labelled rows (at most `most_rows`, the ones of smallest hash) are dealt into
-`SHARDS` shards; each shard runs FTRL-proximal for `EPOCHS` passes in one task, and the weights are averaged per slot
+digits, signs) and pairs of them have slots of their own. Each part is scaled to length one. The labelled rows (at most `most_rows`, the ones of smallest hash,
+picked by id before texts are read) are dealt into `SHARDS` shards; each shard runs FTRL-proximal for `EPOCHS` passes in one task, and the weights are averaged per slot
 by a grouped sum. The weights are bounded by `SLOTS`, so they may be broadcast; scoring is a sparse dot product.
 
 Cases: null and empty texts have only the bias and are scored like any other; a missing or empty label table gives the
 score 0.5; null labels and labelled rows without document are left out; repeated rows are scored each by itself and a
-repeated labelled row counts as often as it stands; other columns are carried along.
+repeated labelled row counts as often as it stands; other columns are carried along, but for one named like the score. Rows of
+equal hash are taken in the order of id and label. A very long text is one sparse vector of at most `SLOTS` entries.
 """
 
 from __future__ import annotations
@@ -124,7 +125,8 @@ def train(labelled: DataFrame, text_col: str, label_col: str, key_col: str, most
 
 
 def score(docs: DataFrame, weights: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
-    """`docs` with the probability of label 1."""
+    """`docs` with the probability of label 1; a column of that name is replaced."""
+    docs = docs.drop(out)
     dense = np.zeros(SLOTS)
     for slot, weight in stored(weights, "quality-weights").orderBy("slot").collect():
         dense[slot] = weight
@@ -145,7 +147,13 @@ def fold(key: Column, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)), F.lit(0))
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str, key: str = "doc_id", folds: int = 4, held: int = 2) -> DataFrame:
-    """Documents with their label, without the held-out fold."""
+def labelled_rows(
+    docs: DataFrame, labels: DataFrame, label_col: str, key: str = "doc_id", folds: int = 4, held: int = 2, most_rows: int = MOST_ROWS
+) -> DataFrame:
+    """Documents with their label, without the held-out fold: those of at most `most_rows` label rows, of smallest hash.
+
+    The ids are picked before any text is read, so the picked labels are a table of at most `most_rows` rows, which may be broadcast.
+    """
     marks = labels.where(F.col(label_col).isNotNull() & (fold(F.col(key), folds) != held)).select(key, F.col(label_col).alias("label_"))
-    return docs.select(key, "text").join(marks, key)
+    picked = marks.orderBy(F.xxhash64(F.col(key), F.lit(17)), key, "label_").limit(most_rows)
+    return docs.select(key, "text").join(F.broadcast(stored(picked, "picked-labels")), key)
