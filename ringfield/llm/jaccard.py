@@ -173,8 +173,14 @@ def shared_entries(index: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "key bigint, head bigint, head_kind tinyint, id bigint, kind tinyint")
 
 
-#: Sets are dealt into groups of about this many; the pairs of two groups are compared together.
+#: Sets near each other are dealt into groups of at most about this many; the pairs of two groups are compared together.
 GROUP = 256
+#: A stored table of at most this many rows of whole numbers is sent to all workers; a longer one is joined by shuffle.
+SENT = 1_000_000
+
+
+def few(numbers: DataFrame) -> DataFrame:
+    return F.broadcast(numbers) if numbers.count() <= SENT else numbers
 
 
 def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, over: int, under: int) -> DataFrame:
@@ -187,22 +193,26 @@ def verified(pairs: DataFrame, sizes: DataFrame, texts: DataFrame, n: int, over:
     # An id with several texts may be linked through any of them.
     fits = F.least("ha", "hb") * under >= F.greatest("la", "lb") * over
     near = stored(near.where(fits).select("a", "b"), "near-pairs")
-    named = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-    groups = -(-max(1, named.count()) // GROUP)
-
-    def group(c: str):
-        return F.pmod(F.xxhash64(F.col(c), F.lit(5)), F.lit(groups)).cast("int")
-
-    cells = near.select(group("a").alias("ga"), group("b").alias("gb"), "a", "b")
-    visits = cells.select("ga", "gb", F.col("a").alias("id")).union(cells.select("ga", "gb", "b")).distinct()
+    # Sets that are near each other go to the same group: that of the smallest id within two pairs. A large one is split.
+    ways = stored(near.select(F.col("a").alias("id"), F.col("b").alias("other")).union(near.select("b", "a")), "ways")
+    one = ways.groupBy("id").agg(F.min("other").alias("m")).select("id", F.least("id", "m").alias("m"))
+    two = ways.join(one.toDF("other", "far"), "other").groupBy("id").agg(F.min("far").alias("far"))
+    named = one.join(two, "id").select("id", F.least("m", "far").alias("g"))
+    counts = named.groupBy("g").agg(F.ceil(F.count("*") / F.lit(GROUP)).cast("int").alias("parts"))
+    part = F.pmod(F.xxhash64("id", F.lit(5)), F.col("parts")).cast("int")
+    named = stored(named.join(counts, "g").select("id", F.struct("g", part.alias("part")).alias("g")), "paired-ids")
+    places = few(named)
+    cells = near.join(places.toDF("a", "ga"), "a").join(places.toDF("b", "gb"), "b")
+    cells = cells.select(F.least("ga", "gb").alias("ga"), F.greatest("ga", "gb").alias("gb"), "a", "b")
+    visits = stored(cells.select("ga", "gb", F.col("a").alias("id")).union(cells.select("ga", "gb", "b")).distinct(), "visits")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows_of(batches, 1 << 20):
             found = [shingles(t, n).tobytes() for t in part.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
-    asked = texts.join(named, "id", "left_semi").select("id", "text").mapInArrow(read, "id bigint, shingles binary")
-    sets = visits.join(asked, "id").select("ga", "gb", F.lit(0).alias("pair"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
+    asked = texts.join(places.select("id"), "id", "left_semi").select("id", "text").mapInArrow(read, "id bigint, shingles binary")
+    sets = asked.join(few(visits), "id").select("ga", "gb", F.lit(0).alias("pair"), F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "shingles")
     both = sets.unionByName(cells.select("ga", "gb", F.lit(1).alias("pair"), "a", "b", F.lit(None).cast("binary").alias("shingles")))
     dealt = both.repartition("ga", "gb").sortWithinPartitions("ga", "gb", "pair")
 
@@ -243,9 +253,9 @@ def components(
     reps = stored(members.groupBy("cls").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n")), "class-heads")
     # A class is found by the texts of its smallest id. An id with several texts is in several classes; its entries are those of
     # all of them, so a shared id joins them of itself.
-    ids = reps.select("id").distinct()
+    ids = stored(reps.select("id").distinct(), "class-ids")
     texts = given.select(F.col("doc_id").alias("id"), "text")
-    wanted = texts.join(ids, "id", "left_semi")
+    wanted = texts.join(few(ids), "id", "left_semi")
     sizes = members.join(ids, members["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"))
     rows = stored(shared_entries(indexed(wanted, n, over, under)), "shared-entries")
     # Two one-deletion neighbours prove nothing.
