@@ -88,3 +88,11 @@ def test_angles_are_not_taken_in_a_lambda(spark):
     turned = G.turn_angles(table)
     assert [round(r.inner, 6) for r in turned.orderBy("k").collect()] == [0.643501, 1.570796, 0.927295]
     assert not [line for line in plan(turned) if "Generate" in line and "ACOS" in line.upper()]
+
+
+def test_edge_distances_are_not_part_of_the_join(spark):
+    sides = [(0, n, 0, float(n), 0.0, float(n), 9.0) for n in range(3)] + [(0, 7, 0, 1.0, 2.0, 1.0, 5.0)]
+    table = spark.createDataFrame(sides, "image_id long, poly_id long, k int, i1 double, j1 double, i2 double, j2 double")
+    found = E.edge_overlaps(table, 0.5)
+    assert [(r.poly_id, r.poly_id_b, r.on_edge) for r in found.collect()] == [(1, 7, 2)]
+    assert not [line for line in plan(found) if "Join" in line and "SQRT" in line.upper()]
