@@ -91,7 +91,7 @@ def test_angles_are_not_taken_in_a_lambda(spark):
 
 
 def test_edge_distances_are_not_part_of_the_join(spark):
-    sides = [(0, n, 0, float(n), 0.0, float(n), 9.0) for n in range(3)] + [(0, 7, 0, 1.0, 2.0, 1.0, 5.0)]
+    sides = [(0, n, 0, 4.0 * n, 0.0, 4.0 * n, 9.0) for n in range(3)] + [(0, 7, 0, 4.0, 2.0, 4.0, 5.0)]
     table = spark.createDataFrame(sides, "image_id long, poly_id long, k int, i1 double, j1 double, i2 double, j2 double")
     found = E.edge_overlaps(table, 0.5)
     assert [(r.poly_id, r.poly_id_b, r.on_edge) for r in found.collect()] == [(1, 7, 2)]
