@@ -9,8 +9,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from ringfield.functions import shared_area
 from ringfield.operators import edge_joins as E
 from ringfield.operators import geometry as G
+from ringfield.operators import overlap as O
 from ringfield.operators import raster as R
 
 
@@ -96,3 +98,67 @@ def test_edge_distances_are_not_part_of_the_join(spark):
     found = E.edge_overlaps(table, 0.5)
     assert [(r.poly_id, r.poly_id_b, r.on_edge) for r in found.collect()] == [(1, 7, 2)]
     assert not [line for line in plan(found) if "Join" in line and "SQRT" in line.upper()]
+
+
+def crowd(spark, count, reach, seed):
+    """Triangles and L shapes, some ids and rings given twice, and rows without image, id or ring."""
+    draw = random.Random(seed)
+
+    def ring():
+        i, j, h, w = draw.randrange(reach), draw.randrange(reach), draw.uniform(2, 40), draw.uniform(2, 40)
+        ell = [(i, j), (i, j + w), (i + h / 2, j + w), (i + h / 2, j + w / 2), (i + h, j + w / 2), (i + h, j)]
+        points = ell if draw.random() < 0.5 else [(i, j), (i + h, j + w), (i + h, j - w)]
+        return [(float(x), float(y)) for x, y in (points if draw.random() < 0.5 else points[::-1])]
+
+    rows = [(n % 2, draw.randrange(10 * count), ring()) for n in range(count)]
+    rows += [(g, n + 1, r) for g, n, r in rows[:5]] + [(g, n, ring()) for g, n, _ in rows[5:10]]
+    rows += [(None, 1, ring()), (0, None, ring()), (0, 3, None), (0, 4, []), (1, 5, [(1.0, None), (9.0, 9.0), (1.0, 9.0)])]
+    return spark.createDataFrame(rows, "image_id int, poly_id long, ring array<struct<i double, j double>>")
+
+
+def pairs_of(table):
+    return {(r.image_id, r.poly_a, r.poly_b) for r in O.overlapping_pairs(table).select("image_id", "poly_a", "poly_b").collect()}
+
+
+def groups_of(links):
+    root = {}
+
+    def find(n):
+        while root.setdefault(n, n) != n:
+            n = root[n]
+        return n
+
+    for g, a, b in links:
+        one, two = sorted((find((g, a)), find((g, b))))
+        root[two] = one
+    return {n: find(n) for n in root}
+
+
+@pytest.mark.parametrize(("reach", "most"), [(60, 25), (400, 2000)])
+def test_what_follows_from_pairs_is_told_by_tile(spark, reach, most):
+    table = crowd(spark, 120, reach, reach + most)
+    pairs = pairs_of(table)
+    assert pairs
+    links = O._told_by_tile(table, 32, most, shared_area.hubs, ("a", "b")).collect()
+    assert groups_of({(r.image_id, r.a, r.b) for r in links}) == groups_of(pairs)
+    latest = {}
+    for r in O._told_by_tile(table, 32, most, shared_area.latest, ("poly_id", "partner")).collect():
+        latest[r.image_id, r.poly_id] = max(latest.get((r.image_id, r.poly_id), r.partner), r.partner)
+    wanted = {}
+    for g, a, b in sorted(pairs):
+        wanted[g, b] = a
+    assert latest == wanted
+
+
+def test_clusters_list_no_pairs(spark, monkeypatch):
+    def never(*_, **__):
+        raise AssertionError("pairs listed")
+
+    monkeypatch.setattr(O, "overlapping_pairs", never)
+    square = [(0.0, 0.0), (0.0, 9.0), (9.0, 9.0), (9.0, 0.0)]
+    rows = [(0, n, [(i + n // 20 * 100.0, j + n % 20) for i, j in square]) for n in range(40)]
+    table = spark.createDataFrame(rows, "image_id int, poly_id long, ring array<struct<i double, j double>>")
+    found = O.largest_per_cluster(table).collect()
+    assert sorted((r.cluster, r.poly_id, r.area, r.members) for r in found) == [(0, 0, 81.0, 20), (20, 20, 81.0, 20)]
+    found = O.largest_per_running_cluster(table).collect()
+    assert sorted((r.start, r.poly_id, r.area) for r in found) == [(0, 0, 81.0), (20, 20, 81.0)]
