@@ -9,7 +9,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ringfield.functions import shared_area
+from ringfield.functions import rings, shared_area
 from ringfield.operators import edge_joins as E
 from ringfield.operators import geometry as G
 from ringfield.operators import overlap as O
@@ -162,3 +162,15 @@ def test_clusters_list_no_pairs(spark, monkeypatch):
     assert sorted((r.cluster, r.poly_id, r.area, r.members) for r in found) == [(0, 0, 81.0, 20), (20, 20, 81.0, 20)]
     found = O.largest_per_running_cluster(table).collect()
     assert sorted((r.start, r.poly_id, r.area) for r in found) == [(0, 0, 81.0), (20, 20, 81.0)]
+
+
+def test_rotations_take_slices_not_places(spark):
+    long, short = [(0.0, 0.0), (0.0, 3.0), (4.0, 3.0)], [(4.0, 3.0), (0.0, 0.0)]
+    rows = [(1, long, short), (2, long, long[1:] + long[:1]), (3, None, short), (4, [], short), (5, None, None)]
+    kind = "array<struct<i double, j double>>"
+    table = spark.createDataFrame(rows, f"n int, a {kind}, b {kind}")
+    for metric, first in (("l2", [0.0, 0.0, 3.0]), ("sum", [0.0, 0.0, 3.0])):
+        matched = table.select("n", rings.cyclic_match(F.col("a"), F.col("b"), metric).alias("m"))
+        found = {r.n: r.m and (r.m.mean, r.m.shift, r.m.distances) for r in matched.collect()}
+        assert found == {1: (1.0, 1, first), 2: (0.0, 2, [0.0] * 3), 3: (None, 0, [None] * 2), 4: (None, 0, [None] * 2), 5: None}
+        assert "pmod" not in "".join(plan(matched)).lower()
