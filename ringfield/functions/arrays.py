@@ -7,15 +7,14 @@ import numpy as np
 
 def centred(values: np.ndarray, size: int) -> np.ndarray:
     """Central crop, or zero padding around the centre, to size x size."""
-    for axis in (0, 1):
-        have = values.shape[axis]
-        if have >= size:
-            values = np.take(values, np.arange((have - size) // 2, (have - size) // 2 + size), axis=axis)
-        else:
-            before = (size - have) // 2
-            pads = [(before, size - have - before) if a == axis else (0, 0) for a in range(values.ndim)]
-            values = np.pad(values, pads)
-    return values
+    out = np.zeros((size, size, *values.shape[2:]), values.dtype)
+    source, target = [], []
+    for have in values.shape[:2]:
+        cut, before = max(have - size, 0) // 2, max(size - have, 0) // 2
+        source.append(slice(cut, cut + min(have, size)))
+        target.append(slice(before, before + min(have, size)))
+    out[tuple(target)] = values[tuple(source)]
+    return out
 
 
 def turned(values: np.ndarray, angle: float, nearest: bool = False) -> np.ndarray:
