@@ -283,3 +283,26 @@ def test_quality(spark):
 def test_digest_is_of_the_listed_spans(spark):
     row = pii.extract(spark.createDataFrame([(1, "x a@b.cd")], "doc_id long, text string")).select(F.sha2(pii.listed(F.col("base")), 256)).first()
     assert row[0] == hashlib.sha256(b"email:2:8").hexdigest()
+
+
+def test_jaccard_near_copies_do_not_meet_as_rows(spark, monkeypatch):
+    """Sets that share segments but are too far apart for a link: their pairs are not listed, and links across blocks are found."""
+    common = [f"w{k}" for k in range(200)]
+
+    def copy(n, changed):
+        return " ".join(f"x{n}y{k}" if k in changed else w for k, w in enumerate(common))
+
+    rows = [(n, copy(n, {11 + n % 7, 60 + n % 11, 100 + n % 13, 140 + n % 5, 180 + n % 9, 30 + n % 3})) for n in range(0, 180, 2)]
+    rows += [(n + 1, t + " end") for n, t in rows[:20]]
+    given = []
+    verified = jaccard.verified
+
+    def counted(pairs, *rest):
+        given.append(pairs.count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    monkeypatch.setattr(jaccard, "BLOCK", 16, raising=False)
+    found = {r.doc_id: r.component_id for r in jaccard.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {n: n - n % 2 for n, _ in rows}
+    assert sum(given) < 200
